@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,3 +45,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder: a parquet file or a folder of parts."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def share(spark: SparkSession, thing: object) -> Broadcast:
+    """A broadcast of any bounded object, with its classes by value; `received` opens it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def received(shared: Broadcast) -> object:
+    return pickle.loads(shared.value)
