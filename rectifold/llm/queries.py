@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, copies
+from ..functions.text import is_missing, letters_and_digits
+from . import canon, copies, names
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +24,44 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(canon.mapped_values(churn, "department", ref)).unionByName(canon.mapped_values(cars, "fuel_type", ref)).select("field_name", F.col("row_id"), "ref_id")
 
 
+def meant_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer_churn as (row_id, identity, name, place): each value in the column it belongs to, the city as the list means it.
+
+    The account is the one of the three values that looks like an account; of the other two the one that is a known city is the city.
+    A city without match stands for itself.
+    """
+    churn, ref = table(spark, sf_dir, "customer_churn"), table(spark, sf_dir, "ref_values")
+    book = canon.dictionary(ref, "city", churn, "city")
+    folded = {c: letters_and_digits(F.col(c)) for c in ("customer_id", "name", "city")}
+    rows = churn.select("row_id", "join_date", *[F.col(c).alias(f"_{c}") for c in folded], *[f.alias(f"_k_{c}") for c, f in folded.items()])
+    account = {c: F.col(f"_k_{c}").rlike("^cust[0-9]+$") for c in folded}
+    in_name, in_city = account["name"] & ~account["customer_id"], account["city"] & ~account["customer_id"] & ~account["name"]
+    rows = rows.select(
+        "row_id", "join_date",
+        F.when(in_name, F.col("_k_name")).when(in_city, F.col("_k_city")).otherwise(F.col("_k_customer_id")).alias("identity"),
+        F.when(in_name, F.col("_customer_id")).otherwise(F.col("_name")).alias("_x"),
+        F.when(in_city, F.col("_customer_id")).otherwise(F.col("_city")).alias("_y"),
+    )
+    exact = {r["canonical"]: r["ref_id"] for r in ref.filter(F.col("field_name") == "city").select("canonical", "ref_id").limit(canon.MAX_ENTRIES).collect()}
+    known = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair])
+    rows = rows.withColumn("_cy", F.try_element_at(known, "_y")).withColumn("_ty", F.when(F.col("_cy").isNull(), F.col("_y")))
+    rows = canon.map_values(rows, "_ty", book, "_ry").withColumn("_cy", F.coalesce("_cy", F.nullif("_ry", F.lit(0))))
+    rows = rows.withColumn("_tx", F.when(F.col("_cy").isNull() & ~is_missing(F.col("_y")), F.col("_x")))
+    rows = canon.map_values(rows, "_tx", book, "_rx").withColumn("_cx", F.nullif("_rx", F.lit(0)))
+    swapped = F.col("_cx").isNotNull()
+    return rows.select(
+        "row_id", "join_date", F.nullif("identity", F.lit("")).alias("identity"), F.when(swapped, F.col("_y")).otherwise(F.col("_x")).alias("name"),
+        F.coalesce(F.col("_cy").cast("string"), F.col("_cx").cast("string"), F.when(~is_missing(F.col("_y")), letters_and_digits(F.col("_y")))).alias("place"),
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = meant_customers(spark, sf_dir)
+    named = names.link(rows, "row_id", F.col("identity"), F.col("name"), {"_day": names.day(F.col("join_date")), "_place": F.col("place")})
+    people = names.linked_pairs(named, "row_id").select(F.lit("customer_churn.name").alias("field_name"), "id_a", "id_b")
+    cars = names.model_pairs(table(spark, sf_dir, "car_name_spellings"), "spelling_id", "car_name")
+    return people.unionByName(cars.select(F.lit("car_data.car_name").alias("field_name"), "id_a", "id_b"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_records, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_records, p4_found, p5_found)}

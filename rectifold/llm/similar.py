@@ -10,6 +10,26 @@ KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 SOUNDS = (("ph", "f"), ("ee", "i"), ("oo", "u"), ("aa", "a"), ("c", "k"), ("w", "v"), ("q", "k"), ("y", "i"), ("dh", "d"), ("th", "t"), ("z", "s"))
 
 
+def memo(limit: int):
+    """Remembers up to `limit` results of a function of hashable arguments. A plain closure, so that it travels to workers by value."""
+
+    def wrap(f):
+        known: dict = {}
+
+        def inner(*args):
+            hit = known.get(args, known)
+            if hit is known:
+                hit = f(*args)
+                if len(known) < limit:
+                    known[args] = hit
+            return hit
+
+        inner.__doc__ = f.__doc__
+        return inner
+
+    return wrap
+
+
 def plain(s: str) -> str:
     """Case-folded without accents; letters and digits stay, all else becomes one space."""
     out = []
