@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,9 +47,15 @@ def letters_and_digits(c: Column) -> Column:
     return fold(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", ""))
 
 
+# The code points with the Unicode property White_Space, as a character class.
+SPACES = r"[\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: A missing cell that is not null. One anchored pattern, as this runs for every cell of every table.
+MISSING = rf"(?i)\A{SPACES}*+(?:{'|'.join(re.escape(t) for t in sorted(R1_TOKENS, key=len, reverse=True))})?{SPACES}*+\z"
+
+
 def is_missing(c: Column) -> Column:
     """Null, nothing but white space, or one of the rule tokens in any case; never null itself."""
-    return c.isNull() | F.lower(strip(c)).isin("", *R1_TOKENS)
+    return F.coalesce(c.rlike(MISSING), F.lit(True))
 
 
 def is_plain_number(c: Column) -> Column:

@@ -38,21 +38,25 @@ def fill(
     the group; a null order value leaves a row without neighbours. Ties in time go by row_id; the earlier neighbour wins a tie in
     distance, the smaller value a tie in frequency. Repeated rows are filled alike. An empty table stays empty.
     """
-    e1, e2 = F.xxhash64(F.lit(17), *entity), F.xxhash64(F.lit(91), *entity)
-    known = F.lit(True)
-    for c in entity:
-        known = known & c.isNotNull()
-    at = order.cast("double")
+    # costly expressions become columns before anything uses them twice
+    keys = [f"_k{i}" for i in range(len(entity))]
     base = df.select(
-        F.col(row_id).alias("_id"), F.when(known, e1).otherwise(F.xxhash64(F.lit(3), F.col(row_id))).alias("_e1"), F.when(known, e2).otherwise(F.xxhash64(F.lit(5), F.col(row_id))).alias("_e2"), at.alias("_t"), group.alias("_g"),
-        *[c.observed.alias(f"_v_{c.name}") for c in columns], *[c.missing.alias(f"_m_{c.name}") for c in columns],
+        F.col(row_id).alias("_id"), *[e.alias(k) for e, k in zip(entity, keys, strict=True)], order.cast("double").alias("_t"), group.alias("_g"),
+        *[c.observed.alias(f"_r_{c.name}") for c in columns], *[c.missing.alias(f"_m_{c.name}") for c in columns],
+    )
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    base = base.select(
+        "_id", F.when(known, F.xxhash64(F.lit(17), *keys)).otherwise(F.xxhash64(F.lit(3), "_id")).alias("_e1"), F.when(known, F.xxhash64(F.lit(91), *keys)).otherwise(F.xxhash64(F.lit(5), "_id")).alias("_e2"), "_t", "_g",
+        *[F.when(~F.col(f"_m_{c.name}"), F.col(f"_r_{c.name}")).alias(f"_v_{c.name}") for c in columns], *[f"_m_{c.name}" for c in columns],
     )
     hot = hot_keys(base.select("_e1", "_e2"), ["_e1", "_e2"], hot_rows, df.count()).select(F.col("_e1").alias("_h1"), F.col("_e2").alias("_h2"))
     tagged = base.join(F.broadcast(hot), (F.col("_e1") == F.col("_h1")) & (F.col("_e2") == F.col("_h2")), "left")  # at most hot.MAX_HOT_KEYS rows
     tagged = tagged.withColumn("_seg", F.when(F.col("_h1").isNotNull(), F.floor(F.coalesce("_t", F.lit(0.0)) / DAY)).otherwise(F.lit(-1)).cast("bigint"))
     tagged = tagged.withColumn("_hot", F.col("_h1").isNotNull()).drop("_h1", "_h2")
     for c in columns:
-        tagged = tagged.withColumn(f"_o_{c.name}", F.when(F.col(f"_v_{c.name}").isNotNull() & F.col("_t").isNotNull() & ~F.col(f"_m_{c.name}"), F.struct(F.col("_t").alias("t"), F.col(f"_v_{c.name}").alias("v"))))
+        tagged = tagged.withColumn(f"_o_{c.name}", F.when(F.col(f"_v_{c.name}").isNotNull() & F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), F.col(f"_v_{c.name}").alias("v"))))
     seg = ["_e1", "_e2", "_seg"]
     back = Window.partitionBy(*seg).orderBy(F.col("_t").asc(), F.col("_id").asc()).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*seg).orderBy(F.col("_t").desc(), F.col("_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -68,17 +72,21 @@ def fill(
     days = days.select(*seg, *[F.last(f"_l_{c.name}", ignorenulls=True).over(over_days).alias(f"_dp_{c.name}") for c in columns], *[F.last(f"_f_{c.name}", ignorenulls=True).over(over_days_back).alias(f"_dn_{c.name}") for c in columns])
     rows = rows.join(days, seg, "left")
 
+    numeric = [c for c in columns if c.numeric]
+    if numeric:  # conditional sums, as a filter on a value would compute it again; decimals, as their sum has no order
+        sums = [x for c in numeric for x in (F.sum(F.col(f"_v_{c.name}").cast("decimal(18,2)")).alias(f"_s_{c.name}"), F.count(f"_v_{c.name}").alias(f"_c_{c.name}"))]
+        stats = base.groupBy("_g").agg(*sums)
+        mean = lambda s, n: F.round((s / F.nullif(n, F.lit(0))).cast("double"), 4)
+        per_group = stats.select(F.col("_g").alias("_gg"), *[mean(F.col(f"_s_{c.name}"), F.col(f"_c_{c.name}")).alias(f"_gv_{c.name}") for c in numeric])
+        whole = stats.agg(*[mean(F.sum(f"_s_{c.name}"), F.sum(f"_c_{c.name}")).alias(f"_av_{c.name}") for c in numeric])
+        rows = rows.join(per_group, F.col("_g") == F.col("_gg"), "left").drop("_gg").crossJoin(F.broadcast(whole))  # one row
     for c in columns:
-        if c.numeric:
-            stats = base.filter(F.col(f"_v_{c.name}").isNotNull() & ~F.col(f"_m_{c.name}")).groupBy("_g").agg(F.sum(F.col(f"_v_{c.name}").cast("decimal(28,4)")).alias("_s"), F.count(F.lit(1)).alias("_c"))
-            per_group = stats.select(F.col("_g").alias("_gg"), F.round((F.col("_s") / F.col("_c")).cast("double"), 4).alias(f"_gv_{c.name}"))
-            whole = stats.agg(F.round((F.sum("_s") / F.sum("_c")).cast("double"), 4).alias(f"_av_{c.name}"))
-        else:
-            freq = base.filter(F.col(f"_v_{c.name}").isNotNull() & ~F.col(f"_m_{c.name}")).groupBy("_g", F.col(f"_v_{c.name}").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        if not c.numeric:
+            freq = base.groupBy("_g", F.col(f"_v_{c.name}").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_v").isNotNull())
             best = F.min_by("_v", F.struct(-F.col("_c"), F.col("_v")))
             per_group = freq.groupBy(F.col("_g").alias("_gg")).agg(best.alias(f"_gv_{c.name}"))
             whole = freq.groupBy("_v").agg(F.sum("_c").alias("_c")).agg(best.alias(f"_av_{c.name}"))
-        rows = rows.join(per_group, F.col("_g") == F.col("_gg"), "left").drop("_gg").crossJoin(F.broadcast(whole))  # one row
+            rows = rows.join(per_group, F.col("_g") == F.col("_gg"), "left").drop("_gg").crossJoin(F.broadcast(whole))  # one row
 
     out = [F.col("_id").alias(row_id)]
     for c in columns:

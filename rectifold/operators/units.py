@@ -117,30 +117,39 @@ def with_unit(df: DataFrame, field: str, units: DataFrame, feeds: DataFrame, fee
     common = min((i for i, f in factors.items() if f == 1.0), default=None)
     feed_unit = {r["feed"]: r["unit_id"] for r in _small(feeds, "the feed table") if r["field_name"] == field and r["feed"] is not None}
     c = F.col(field)
-    f_part = [_case(F.col(feed), {k: parts[u][i] for k, u in feed_unit.items() if u in parts}, "string") for i in range(3)]
     base = parts.get(common, (None, None, None))
-    if "km" in {p[0] for p in parts.values()}:
-        v = says_distance(c)
-        rem = remark_distance(F.col(remarks)) if remarks else F.lit(None).cast("string")
+    distance = "km" in {p[0] for p in parts.values()}
+    kept = df.columns
+    # each part is a column of its own, so that no pattern runs twice for a row; bare numbers say nothing
+    says = F.when(c.rlike(r"[^0-9.+-]"), F.lower(c))
+    df = df.withColumn("_says", says)
+    said = says_distance(F.col("_says")) if distance else says_money(F.col("_says"))
+    df = df.withColumns({f"_v_{k}": v for k, v in said.items()})
+    nothing = F.lit(None).cast("string")
+    remark = nothing if remarks is None else F.when(F.col(remarks).isNotNull(), remark_distance(F.col(remarks)) if distance else remark_price(F.col(remarks)))
+    df = df.withColumn("_remark", remark)
+    df = df.withColumns({f"_f_{i}": _case(F.col(feed), {k: parts[u][i] for k, u in feed_unit.items() if u in parts}, "string") for i in range(3)})
+    rem = F.col("_remark")
+    if distance:
         r_measure = _first((rem == "mile", "mile"), (rem.isNotNull(), "km"))
         r_scale = _first((rem == "thousand_km", "thousand"), (rem.isNotNull(), "one"))
-        measure = F.coalesce(v["measure"], r_measure, f_part[0], F.lit(base[0]))
+        measure = F.coalesce("_v_measure", r_measure, "_f_0", F.lit(base[0]))
         # a measure said in the value without a scale means single units of it
-        scale = F.coalesce(v["scale"], F.when(v["measure"].isNotNull(), F.lit("one")), r_scale, f_part[1], F.lit(base[1]))
-        key = F.concat_ws("|", measure, F.when(measure == "mile", F.lit("one")).otherwise(scale))
+        scale = F.coalesce("_v_scale", F.when(F.col("_v_measure").isNotNull(), F.lit("one")), r_scale, "_f_1", F.lit(base[1]))
+        df = df.withColumn("_key", F.concat_ws("|", measure, F.when(measure == "mile", F.lit("one")).otherwise(scale)))
     else:
-        v = says_money(c)
-        rem = remark_price(F.col(remarks)) if remarks else F.lit(None).cast("string")
         r_cur = _first((rem == "usd", "usd"), (rem.isNotNull(), "inr"))
-        v_cur = F.coalesce(v["currency"], F.when(v["scale"].isin("lakh", "crore") | c.rlike(r"(?i)₹|\brs\b|inr|rupee"), F.lit("inr")), F.when(v["scale"].isNotNull(), F.lit("inr")))
-        currency = F.coalesce(v_cur, r_cur, f_part[0], F.lit(base[0]))
-        scale = F.coalesce(v["scale"], F.when(rem.isNotNull() & (rem != "usd"), rem), f_part[1], F.lit(base[1]))
-        period = F.coalesce(v["period"], f_part[2], F.lit(base[2])) if base[2] else None
+        v_cur = F.coalesce("_v_currency", F.when(F.col("_v_scale").isNotNull() | F.col("_says").rlike(r"₹|\brs\b|inr"), F.lit("inr")))
+        currency = F.coalesce(v_cur, r_cur, "_f_0", F.lit(base[0]))
+        scale = F.coalesce("_v_scale", F.when(rem != "usd", rem), "_f_1", F.lit(base[1]))
+        df = df.withColumns({"_currency": currency, "_scale": scale})
+        period = F.coalesce("_v_period", "_f_2", F.lit(base[2])) if base[2] else None
         usd = F.lit("usd|one|year" if base[2] else "usd|one")
-        inr = F.concat_ws("|", F.lit("inr"), scale, *([F.when(scale == "one", period).otherwise(F.lit("year"))] if base[2] else []))
-        key = F.when(currency == "usd", usd).otherwise(inr)
+        inr = F.concat_ws("|", F.lit("inr"), "_scale", *([F.when(F.col("_scale") == "one", period).otherwise(F.lit("year"))] if base[2] else []))
+        df = df.withColumn("_key", F.when(F.col("_currency") == "usd", usd).otherwise(inr))
     ids = {"|".join(x for x in p if x): i for p, i in by_parts.items()}
-    return df.withColumn(out, F.when(c.rlike(r"[0-9]"), F.coalesce(_case(key, ids, "int"), F.lit(common).cast("int"))))
+    unit = F.when(c.rlike(r"[0-9]"), F.coalesce(_case(F.col("_key"), ids, "int"), F.lit(common).cast("int")))
+    return df.select(*[F.col(f"`{k}`") for k in kept if k != out], unit.alias(out))
 
 
 def number_in(c: Column) -> Column:

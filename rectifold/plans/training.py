@@ -55,7 +55,8 @@ def filled_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer_churn")
     unit_t, feed_t = table(spark, sf_dir, "unit_factors"), table(spark, sf_dir, "feed_units")
     rows = units.convert(units.with_unit(rows, "salary", unit_t, feed_t), "salary", unit_t, out="_salary")
-    age = units.number_in(F.col("age"))
+    rows = rows.withColumn("_age", units.number_in(F.col("age")))
+    age = F.col("_age")
     cols = [
         neighbour_fill.FillColumn("salary", F.when(F.col("_salary") > 0, F.col("_salary")), is_missing(F.col("salary")), True),
         neighbour_fill.FillColumn("age", F.when(age.between(0, 120), age), is_missing(F.col("age")), True),
