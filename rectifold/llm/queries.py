@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..functions.text import is_missing, letters_and_digits
-from . import canon, copies, names
+from . import bpe, canon, copies, langid, names, packing
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +63,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.unionByName(cars.select(F.lit("car_data.car_name").alias("field_name"), "id_a", "id_b"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+CAPACITY = 2048
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.sizes_of(spark, F.col("text")).alias("n_tokens"))
+    return packing.fill_containers(docs, "doc_id", "n_tokens", CAPACITY)
+
+
+def p9_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.filling(p9_containers(spark, sf_dir), CAPACITY)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.findings(langid.identify(table(spark, sf_dir, "documents")))
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.start", "s.end", "s.lang", F.round("s.confidence", 6).alias("confidence"), "s.sentence")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_records, p4_found, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_records, p4_found, p5_found, p8_ids, p9_containers, p9_filling, p10_found, p10_segments)}
