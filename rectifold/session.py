@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import pickle
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.core.broadcast import Broadcast
@@ -54,3 +55,15 @@ def share(spark: SparkSession, thing: object) -> Broadcast:
 
 def received(shared: Broadcast) -> object:
     return pickle.loads(shared.value)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder, compressed and in columns; removed when the driver's JVM ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    jvm = spark.sparkContext._jvm
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rectifold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
