@@ -36,9 +36,12 @@ def _deletes(s: str, d: int) -> set[str]:
     return out
 
 
+PREFIX = 7  # letters at the beginning that are indexed: two texts within d edits share a form of their beginnings with up to d letters deleted
+
+
 def _bound(n: int) -> int:
     """How many edits a text of n characters may carry."""
-    return 0 if n <= 2 else 1 if n <= 4 else 2 if n <= 11 else 3
+    return 0 if n <= 2 else 1 if n <= 4 else 2 if n <= 14 else 3
 
 
 class Dictionary:
@@ -65,8 +68,9 @@ class Dictionary:
             if alias and len(joined) <= 4:
                 continue  # codes of a few letters lie too close together for typing errors
             for form in {joined, sounded(joined)}:
-                for x in _deletes(form, _bound(len(joined))):
+                for x in _deletes(form[:PREFIX], _bound(len(joined))):
                     self.deletes.setdefault(x, []).append(i)
+        self.lengths = {len(joined) for joined, _, _ in self.names}
         self.memo: dict[str, int] = {}
 
     def find(self, value: str) -> int:
@@ -105,13 +109,15 @@ class Dictionary:
 
     def _near(self, joined: str) -> tuple | None:
         bound = _bound(len(joined))
+        if not any(len(joined) + k in self.lengths for k in range(-bound, bound + 1)):
+            return None  # no name within the bound has such a length
         forms = {joined, sounded(joined)}
-        seen = {i for f in forms for x in _deletes(f, bound) for i in self.deletes.get(x, ())} if len(joined) <= 40 else set()
+        seen = {i for f in forms for x in _deletes(f[:PREFIX], bound) for i in self.deletes.get(x, ())} if len(joined) <= 40 else set()
         best = None
         for i in seen:
             name, ref, alias = self.names[i]
             n = min(len(name), len(joined))
-            most = 0.85 if n <= 3 else 1.0 if n <= 5 else 2.0 if n <= 11 else 3.0
+            most = 0.85 if n <= 3 else 1.0 if n <= 5 else 2.0 if n <= 11 else 2.6 if n <= 14 else 3.0
             d = min(typing_distance(joined, name, most + 0.5), 0.3 + typing_distance(sounded(joined), sounded(name), most + 0.5))
             if n <= 4 and joined[0] != name[0]:
                 continue
