@@ -32,32 +32,47 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class PerfectHash:
     """A minimal perfect hash of n byte strings: every key has its own slot of n, a check value tells strangers apart.
 
-    Keys fall into buckets by one hash; each bucket, largest first, gets the first displacement that sends its keys to free slots.
+    Keys fall into buckets by one hash. Each bucket of several keys, largest first, gets the first displacement that sends its keys to
+    free slots; the buckets of one key take the slots that remain, named directly by a negative displacement.
     """
 
     def __init__(self, keys: list[bytes], values: list[int]):
         self.n = n = max(1, len(keys))
-        self.buckets = b = max(1, n // 4)
+        self.buckets = b = max(1, n // 3)
         h = self.hashes(keys)
-        order: dict[int, list[int]] = {}
-        for i, x in enumerate((h[:, 0] % np.uint64(b)).tolist()):
-            order.setdefault(x, []).append(i)
-        self.seed = np.zeros(b, dtype=np.uint64)
+        home = (h[:, 0] % np.uint64(b)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        starts = np.searchsorted(home[order], np.arange(b + 1))
+        self.seed = np.zeros(b, dtype=np.int64)
         self.value = np.full(n, -1, dtype=np.int64)
         self.check = np.zeros((n, 2), dtype=np.uint64)
         free = np.ones(n, dtype=bool)
-        for x, own in sorted(order.items(), key=lambda kv: (-len(kv[1]), kv[0])):
-            hs = h[own]
-            d = 1
+        vals = np.asarray(values, dtype=np.int64)
+        sizes = np.diff(starts)
+        for x in sorted(np.flatnonzero(sizes > 1).tolist(), key=lambda i: -sizes[i]):
+            own = order[starts[x] : starts[x + 1]]
+            at, step = 1, 256
             while True:
-                slots = self._slots(hs, np.uint64(d))
-                if free[slots].all() and len(set(slots.tolist())) == len(own):
+                ds = np.arange(at, at + step, dtype=np.uint64)
+                slots = self._slots(h[own, 1][None, :], ds[:, None])
+                good = free[slots].all(axis=1)
+                if len(own) > 1:
+                    line = np.sort(slots, axis=1)
+                    good &= (line[:, 1:] != line[:, :-1]).all(axis=1)
+                if good.any():
+                    k = int(np.argmax(good))
                     break
-                d += 1
-            free[slots] = False
-            self.seed[x] = d
-            self.value[slots] = [values[i] for i in own]
-            self.check[slots] = hs
+                at, step = at + step, min(1 << 14, step * 2)
+            self.seed[x] = at + k
+            free[slots[k]] = False
+            self.value[slots[k]] = vals[own]
+            self.check[slots[k]] = h[own]
+        single = np.flatnonzero(sizes == 1)
+        rest = np.flatnonzero(free)[: len(single)]
+        own = order[starts[single]]
+        self.seed[single] = -rest - 1
+        self.value[rest] = vals[own]
+        self.check[rest] = h[own]
 
     @staticmethod
     def hashes(keys: list[bytes]) -> np.ndarray:
@@ -65,9 +80,9 @@ class PerfectHash:
         raw = b"".join([xxhash.xxh3_128_digest(k) for k in keys])
         return np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
 
-    def _slots(self, h: np.ndarray, d) -> np.ndarray:
+    def _slots(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            x = h[:, 1] ^ (np.asarray(d, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            x = h ^ (d * np.uint64(0x9E3779B97F4A7C15))
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             x = x ^ (x >> np.uint64(32))
         return (x % np.uint64(self.n)).astype(np.int64)
@@ -77,7 +92,8 @@ class PerfectHash:
         if not keys:
             return np.empty(0, dtype=np.int64)
         h = self.hashes(keys)
-        slots = self._slots(h, self.seed[(h[:, 0] % np.uint64(self.buckets)).astype(np.int64)])
+        seed = self.seed[(h[:, 0] % np.uint64(self.buckets)).astype(np.int64)]
+        slots = np.where(seed < 0, -seed - 1, self._slots(h[:, 1], seed.astype(np.uint64)))
         return np.where((self.check[slots] == h).all(axis=1), self.value[slots], -1)
 
 
@@ -105,6 +121,13 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p is not None]
 
 
+def _utf8(word: str) -> bytes:
+    try:
+        return word.encode()
+    except UnicodeEncodeError:
+        return word.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode()
+
+
 class Encoder:
     """Encodes texts with a vocabulary of ranks, without special tokens: their strings are ordinary text."""
 
@@ -123,7 +146,7 @@ class Encoder:
         words = [cut(t) for t in texts]
         new = list({w for ws in words for w in ws if w not in known})
         local: dict[str, list[int]] = {}
-        raw = [w.encode("utf-8", "replace") for w in new]
+        raw = [_utf8(w) for w in new]
         for w, b, x in zip(new, raw, self.table.find(raw).tolist(), strict=True):
             local[w] = [x] if x >= 0 else merged(b, self.ranks)
         if len(known) < REMEMBERED:
@@ -137,8 +160,18 @@ class Encoder:
         return out
 
 
+_LOADED: dict[tuple[str, float], Encoder] = {}
+
+
 def load(path: str) -> Encoder:
-    """The encoder of a rank file: lines of base64 bytes and a rank."""
+    """The encoder of a rank file: lines of base64 bytes and a rank. A driver builds it once per file."""
+    key = (path, os.path.getmtime(path))
+    if key not in _LOADED:
+        _LOADED[key] = _load(path)
+    return _LOADED[key]
+
+
+def _load(path: str) -> Encoder:
     if os.path.getsize(path) > MAX_VOCABULARY:
         raise ValueError(f"{path} is larger than {MAX_VOCABULARY} bytes")
     with open(path, "rb") as f:
