@@ -36,8 +36,8 @@ SAMPLE_DOCS = 20_000  # labelled documents that the text model may be fitted on,
 MIN_COUNT = 3  # times a word must occur in the sample to have its own likelihood
 MAX_FEATURES = 200_000  # most frequent features the model keeps
 MAX_HOSTS = 10_000  # hosts whose priors may be broadcast
-LEAST_WORDS, LEAST_LETTERS = 4, 15  # of a segment that counts as a whole sentence
-SURE = 0.9  # posterior from which a sentence shows its language
+LEAST_WORDS, LEAST_LETTERS = 5, 18  # of a segment that counts as a whole sentence
+SURE = 0.95  # posterior from which a sentence shows its language
 KAPPA = 50.0  # pseudo-counts of the level above in a prior
 LABEL_ODDS, SUFFIX_ODDS = 4.0, 2.0  # odds a declared label or an address suffix gives its language
 TEMPERATURE = 0.5  # of the text evidence, as neighbouring letter groups repeat each other
@@ -170,73 +170,62 @@ def host_priors(docs: DataFrame, host: str, kind: str, label: str) -> DataFrame:
     return every.select("_host", "_kind", smooth(F.col("n"), F.col("p1")).alias("prior"))
 
 
-def scored(docs: DataFrame, doc_id: str, text: str, label: str, host: str, kind: str, model: TextModel) -> DataFrame:
-    """Narrow rows: the document's keys, whether its text has a letter, and its segments with text log-likelihoods."""
+def _soft(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", host: str = "source", kind: str = "doc_type", model: TextModel | None = None) -> DataFrame:
+    """(doc_id, label, label_missing, has_letter, segments, languages): per segment start, end, language, confidence and whether it is a sentence.
+
+    languages are those of at least one whole sentence of posterior SURE or more; a text without any has the best language of all its
+    segments together; a text without letters (null, empty and blank texts too) has none. Equal posteriors go to the first language by code.
+    Priors meet the documents by a broadcast as long as there are at most MAX_HOSTS of them, else by a join.
+    """
+    model = model or train(docs, doc_id, text, label)
     shared = share(docs.sparkSession, model)
-    schema = "_doc bigint, _label string, _missing boolean, _host string, _kind string, _letter boolean, _suffix array<string>, _segs array<struct<start:int,end:int,words:int,letters:int,ll:array<double>>>"
+    priors = checkpoint(host_priors(docs, host, kind, label))
+    small = priors.limit(MAX_HOSTS + 1).count() <= MAX_HOSTS
+    p = priors.select(F.col("_host").alias("_h"), F.col("_kind").alias("_kd"), "prior")
+    lab = F.col(label)
+    gone = is_missing(lab) | F.lower(F.trim(lab)).isin(*UNDETERMINED)
+    src = docs.select(F.col(doc_id).cast("bigint").alias("_doc"), F.col(text).alias("_text"), declared(lab).alias("_label"), gone.alias("_missing"), F.col(host).alias("_host"), F.col(kind).alias("_kind"))
+    src = src.join(F.broadcast(p) if small else p, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_kind").eqNullSafe(F.col("_kd")), "left").select("_doc", "_text", "_label", "_missing", "prior")
+    schema = f"{doc_id} bigint, label string, label_missing boolean, has_letter boolean, segments array<struct<start:int,end:int,lang:string,confidence:double,sentence:boolean>>, languages array<string>"
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: TextModel = received(shared)
         address = regex.compile(r"(?:https?://|@)[\w.-]+?\.([a-z]{2})(?:[/\s,;:)>]|$)")
         letter = regex.compile(r"\p{L}")
+        at = {la: i for i, la in enumerate(LANGUAGES)}
+        flat = np.full(len(LANGUAGES), 1.0 / len(LANGUAGES))
         for pdf in it:
-            segs, has, suffix = [], [], []
-            for t in pdf["_text"]:
+            has, found, langs = [], [], []
+            for t, lab_, prior in zip(pdf["_text"], pdf["_label"], pdf["prior"], strict=True):
                 t = t or ""
                 has.append(letter.search(t) is not None)
-                suffix.append(sorted({SUFFIXES[x] for x in address.findall(t) if x in SUFFIXES}))
-                segs.append([{"start": a, "end": b, "words": len(ws), "letters": sum(map(len, ws)), "ll": own.score(ws).tolist()} for a, b, ws in own.segments(t)])
-            yield pd.DataFrame({"_doc": pdf["_doc"], "_label": pdf["_label"], "_missing": pdf["_missing"], "_host": pdf["_host"], "_kind": pdf["_kind"], "_letter": has, "_suffix": suffix, "_segs": segs})
+                segs = own.segments(t) if has[-1] else []
+                if not segs:
+                    found.append([])
+                    langs.append([LANGUAGES[int(np.argmax(prior if prior is not None else flat))]] if has[-1] else [])
+                    continue
+                lp = np.log(np.asarray(prior if prior is not None else flat, dtype=float))
+                if lab_ in at:
+                    lp[at[lab_]] += math.log(LABEL_ODDS)
+                for la in {SUFFIXES[x] for x in address.findall(t) if x in SUFFIXES}:
+                    lp[at[la]] += math.log(SUFFIX_ODDS)
+                ll = np.array([own.score(ws) for _, _, ws in segs])
+                post = _soft(TEMPERATURE * ll + lp)
+                best, conf = post.argmax(axis=1).tolist(), post.max(axis=1).tolist()
+                whole = [len(ws) >= LEAST_WORDS and sum(map(len, ws)) >= LEAST_LETTERS for _, _, ws in segs]
+                found.append([{"start": a, "end": b, "lang": LANGUAGES[k], "confidence": c, "sentence": w} for (a, b, _), k, c, w in zip(segs, best, conf, whole, strict=True)])
+                sure = sorted({LANGUAGES[k] for k, c, w in zip(best, conf, whole, strict=True) if w and c >= SURE})
+                langs.append(sure or [LANGUAGES[int(np.argmax(TEMPERATURE * ll.sum(axis=0) + lp))]])
+            yield pd.DataFrame({doc_id: pdf["_doc"], "label": pdf["_label"], "label_missing": pdf["_missing"], "has_letter": has, "segments": found, "languages": langs})
 
-    lab = F.col(label)
-    gone = is_missing(lab) | F.lower(F.trim(lab)).isin(*UNDETERMINED)
-    src = docs.select(F.col(doc_id).cast("bigint").alias("_doc"), F.col(text).alias("_text"), declared(lab).alias("_label"), gone.alias("_missing"), F.col(host).alias("_host"), F.col(kind).alias("_kind"))
     return src.mapInPandas(run, schema)
 
 
-def _posterior(ll: Column, log_prior: Column) -> Column:
-    """Normalised probabilities per language."""
-    s = F.zip_with(ll, log_prior, lambda a, b: TEMPERATURE * a + b)
-    top = F.array_max(s)
-    e = F.transform(s, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
-
-
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", host: str = "source", kind: str = "doc_type", model: TextModel | None = None) -> DataFrame:
-    """(doc_id, label, label_missing, has_letter, segments, languages): per segment start, end, language, confidence and whether it is a sentence.
-
-    languages are those of at least one whole sentence of posterior SURE or more; a text without any has the best language of all its
-    segments together; a text without letters (null, empty and blank texts too) has none. Equal posteriors go to the first language by code.
-    """
-    model = model or train(docs, doc_id, text, label)
-    rows = scored(docs, doc_id, text, label, host, kind, model)
-    priors = host_priors(docs, host, kind, label)
-    priors = checkpoint(priors)
-    small = priors.limit(MAX_HOSTS + 1).count() <= MAX_HOSTS
-    p = priors.select(F.col("_host").alias("_h"), F.col("_kind").alias("_kd"), F.transform("prior", lambda x: F.ln(x)).alias("_lp"))
-    on = F.col("_host").eqNullSafe(F.col("_h")) & F.col("_kind").eqNullSafe(F.col("_kd"))
-    rows = rows.join(F.broadcast(p) if small else p, on, "left").drop("_h", "_kd")
-    codes = F.array(*[F.lit(x) for x in LANGUAGES])
-    hint = F.transform(codes, lambda c: F.when(c == F.col("_label"), F.lit(math.log(LABEL_ODDS))).otherwise(F.lit(0.0)) + F.when(F.array_contains("_suffix", c), F.lit(math.log(SUFFIX_ODDS))).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("_lp", F.zip_with(F.coalesce("_lp", F.transform(codes, lambda _: F.lit(math.log(1 / len(LANGUAGES))))), hint, lambda a, b: a + b))
-
-    def segment(s: Column) -> Column:
-        post = _posterior(s["ll"], F.col("_lp"))
-        sentence = (s["words"] >= LEAST_WORDS) & (s["letters"] >= LEAST_LETTERS)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), post.alias("post"), sentence.alias("sentence"))
-
-    rows = rows.withColumn("_post", F.transform("_segs", segment))
-    pick = lambda post: F.element_at(codes, F.array_position(post, F.array_max(post)).cast("int"))
-    rows = rows.withColumn("segments", F.transform("_post", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), pick(s["post"]).alias("lang"), F.array_max(s["post"]).alias("confidence"), s["sentence"].alias("sentence"))))
-    sure = F.array_sort(F.array_distinct(F.transform(F.filter("segments", lambda s: s["sentence"] & (s["confidence"] >= SURE)), lambda s: s["lang"])))
-    zero = F.array(*[F.lit(0.0)] * len(LANGUAGES))
-    whole = F.aggregate("_segs", zero, lambda a, s: F.zip_with(a, s["ll"], lambda x, y: x + y))
-    rows = rows.withColumn("_sure", sure).withColumn("_whole", _posterior(whole, F.col("_lp")))
-    languages = F.when(~F.col("_letter"), F.array().cast("array<string>")).when(F.size("_sure") > 0, F.col("_sure")).otherwise(F.array(pick(F.col("_whole"))))
-    return rows.select(F.col("_doc").alias(doc_id), F.col("_label").alias("label"), F.col("_missing").alias("label_missing"), F.col("_letter").alias("has_letter"), "segments", languages.alias("languages"))
-
-
 def findings(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang): of documents with a letter, those without a label, with a wrong one, or with several languages; a row per language."""
     right = (F.size("languages") == 1) & F.coalesce(F.col("languages")[0] == F.col("label"), F.lit(False)) & ~F.col("label_missing")

@@ -34,13 +34,14 @@ def meant_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = canon.dictionary(ref, "city", churn, "city")
     folded = {c: letters_and_digits(F.col(c)) for c in ("customer_id", "name", "city")}
     rows = churn.select("row_id", "join_date", *[F.col(c).alias(f"_{c}") for c in folded], *[f.alias(f"_k_{c}") for c, f in folded.items()])
-    account = {c: F.col(f"_k_{c}").rlike("^cust[0-9]+$") for c in folded}
-    in_name, in_city = account["name"] & ~account["customer_id"], account["city"] & ~account["customer_id"] & ~account["name"]
+    is_account = lambda c: F.col(f"_k_{c}").rlike("^cust[0-9]+$")
+    rows = rows.withColumn("_at", F.when(is_account("customer_id"), 0).when(is_account("name"), 1).when(is_account("city"), 2).otherwise(0))
+    at = F.col("_at")
     rows = rows.select(
         "row_id", "join_date",
-        F.when(in_name, F.col("_k_name")).when(in_city, F.col("_k_city")).otherwise(F.col("_k_customer_id")).alias("identity"),
-        F.when(in_name, F.col("_customer_id")).otherwise(F.col("_name")).alias("_x"),
-        F.when(in_city, F.col("_customer_id")).otherwise(F.col("_city")).alias("_y"),
+        F.when(at == 1, F.col("_k_name")).when(at == 2, F.col("_k_city")).otherwise(F.col("_k_customer_id")).alias("identity"),
+        F.when(at == 1, F.col("_customer_id")).otherwise(F.col("_name")).alias("_x"),
+        F.when(at == 2, F.col("_customer_id")).otherwise(F.col("_city")).alias("_y"),
     )
     exact = {r["canonical"]: r["ref_id"] for r in ref.filter(F.col("field_name") == "city").select("canonical", "ref_id").limit(canon.MAX_ENTRIES).collect()}
     known = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair])
