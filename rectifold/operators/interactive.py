@@ -144,9 +144,9 @@ def scope(df: DataFrame, how: str = "all", column: str | None = None, first: int
 
 def formatted(c: Column) -> Column:
     """Numbers as text: no decimals where integral, null as empty."""
-    d = c.cast("double")
+    d = c.cast("string").try_cast("double")
     whole = F.coalesce((d == F.floor(d)) & (F.abs(d) < 1e15), F.lit(False))
-    return F.when(c.isNull(), F.lit("")).when(whole, d.cast("bigint").cast("string")).otherwise(c.cast("string"))
+    return F.when(c.isNull(), F.lit("")).when(whole & c.cast("string").rlike(r"^[-+]?\d+(\.0*)?([eE][-+]?\d+)?$"), d.cast("bigint").cast("string")).otherwise(c.cast("string"))
 
 
 def apply_formula(df: DataFrame, target: str, formula: str, where: Column | None = None) -> DataFrame:

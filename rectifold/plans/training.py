@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, is_missing, letters_and_digits, strip
+from ..functions.text import R1_TOKENS, fold, is_missing, letters_and_digits, strip
 from ..operators import load_profile, neighbour_fill, units
 from ..session import table
 from ..sources import line_gate
@@ -83,3 +83,79 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_loaded, p3_found, p3_profile, p3_drift, p6_found, p6_filled, p7_found)}
+
+
+# ---- SQL --------------------------------------------------------------------------------------------------------------------
+WHITE = r"[\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def missing_sql(c: str) -> str:
+    tokens = ", ".join("'" + t + "'" for t in ("", *R1_TOKENS))
+    return f"({c} IS NULL OR lower(regexp_replace(regexp_replace({c}, '^{WHITE}+', ''), '{WHITE}+$', '')) IN ({tokens}))"
+
+
+_SP, _ANY = "[ \\t]*", """(?:[ \\t]*"(?:[^"]|"")*"[ \\t]*|[^",]*)"""
+
+
+def _plain_pattern(f: line_gate.LineField) -> str:
+    return _ANY if f.free else f'(?:{_SP}"{_SP}{f.plain}{_SP}"{_SP}|{_SP}{f.plain}{_SP})'
+
+
+def p2_sql() -> str:
+    text = "regexp_replace(coalesce(raw_line, ''), '\\r$', '')"
+    whole = {t: "^" + ",".join(_plain_pattern(f) for f in s) + "$" for t, s in (("customer_churn", line_gate.CUSTOMER_CHURN), ("car_data", line_gate.CAR_DATA))}
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    full = lambda x: f"regexp_full_match(line, {quote(x.removeprefix('^').removesuffix('$'))}, 's')"
+    fields = lambda n: f"{_ANY}(?:,{_ANY}){{{n - 1}}}"
+    car = f"regexp_extract(line, {quote('^(' + _ANY + ')')}, 1)"
+    bad_name = f"(NOT regexp_matches({car}, '\\p{{L}}') OR regexp_matches({car}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{FFFD}}]'))"
+    reason = f"""CASE WHEN NOT {full(_ANY + '(?:,' + _ANY + ')*')} THEN 'broken_quoting' WHEN feed_table = 'customer_churn' AND NOT {full(fields(8))} OR feed_table = 'car_data' AND NOT {full(fields(9))} THEN 'wrong_column_count'
+ WHEN feed_table = 'customer_churn' AND NOT {full(whole['customer_churn'])} OR feed_table = 'car_data' AND (NOT {full(whole['car_data'])} OR {bad_name}) THEN 'invalid_value' END"""
+    return f"SELECT line_id, reason FROM (SELECT line_id, {reason} AS reason FROM (SELECT line_id, feed_table, {text} AS line FROM raw_lines)) WHERE reason IS NOT NULL"
+
+
+def p3_sql() -> str:
+    num = "'^[+-]?[0-9]+(\\.[0-9]+)?$'"
+    parts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, load_no, {missing_sql(c)} AS gone, coalesce(regexp_matches({c}, {num}), false) AS plain, CASE WHEN regexp_matches({c}, {num}) THEN CAST({c} AS DOUBLE) END AS x FROM {t}" for t, cols in PROFILED.items() for c in cols)
+    return f"""WITH v AS ({parts}), m AS (SELECT table_name, column_name, load_no, avg(gone::INT) AS nr, count(*) FILTER (NOT gone AND NOT plain) / nullif(CAST(count(*) FILTER (NOT gone) AS DOUBLE), 0) AS pr, count(DISTINCT x) / nullif(CAST(count(x) AS DOUBLE), 0) AS dr,
+ quantile_cont(x, 0.01) AS p01, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, quantile_cont(x, 0.99) AS p99 FROM v GROUP BY ALL),
+ md AS (SELECT table_name, column_name, median(nr) AS mnr, median(pr) AS mpr, median(dr) AS mdr, median(p01) AS m01, median(p50) AS m50, median(p99) AS m99, median(p75 - p25) AS miqr FROM m GROUP BY ALL),
+ o AS (SELECT table_name, column_name, load_no, avg((x < m01 OR x > m99)::INT) AS outside FROM v JOIN md USING (table_name, column_name) WHERE x IS NOT NULL GROUP BY ALL), j AS (SELECT * FROM m JOIN md USING (table_name, column_name) LEFT JOIN o USING (table_name, column_name, load_no))
+ SELECT table_name, column_name, load_no, 'null_rate' AS finding FROM j WHERE nr - mnr >= 0.15 - 1e-12 UNION ALL SELECT table_name, column_name, load_no, 'pattern' FROM j WHERE pr - mpr >= 0.15 - 1e-12 UNION ALL SELECT table_name, column_name, load_no, 'distinct' FROM j WHERE dr < 0.5 * mdr - 1e-12
+ UNION ALL SELECT table_name, column_name, load_no, 'value_range' FROM j WHERE outside >= 0.10 - 1e-12 UNION ALL SELECT table_name, column_name, load_no, 'distribution' FROM j WHERE abs(p50 - m50) > 0.5 * miqr + 1e-12"""
+
+
+def profile_sql() -> str:
+    num = "'^[+-]?[0-9]+(\\.[0-9]+)?$'"
+    cells = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS v FROM {t}" for t, cols in WHOLE_TABLES.items() for c in cols)
+    return f"""WITH c AS (SELECT table_name, column_name, v, count(*) AS n FROM ({cells}) GROUP BY ALL), d AS (SELECT *, {missing_sql('v')} AS gone, coalesce(regexp_matches(v, {num}), false) AS plain FROM c)
+ SELECT table_name, column_name, CAST(sum(n) AS BIGINT) AS n_cells, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_missing, count(*) FILTER (NOT gone) AS n_distinct, CAST(coalesce(sum(n) FILTER (plain), 0) AS BIGINT) AS n_plain, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT plain), 0) AS BIGINT) AS n_pattern, CAST(max(n) FILTER (NOT gone) AS BIGINT) AS n_top FROM d GROUP BY ALL"""
+
+
+def p6_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, row_id FROM customer_churn WHERE {missing_sql(c)}" for c in ("salary", "age", "department"))
+
+
+def p7_sql() -> str:
+    """An independent reading of the unit rules: every stated part by pattern, the rest from the remark and the feed."""
+    has = lambda c, p: f"regexp_matches(lower({c}), '{p}')"
+    v = "salary"
+    usd, lakh, thousand, rupees = has(v, "[$]|usd"), has(v, "lakh|lac|[0-9 ]l$|[0-9 ]l |lpa"), has(v, "thousand|[0-9 ]k$|[0-9 ]k "), has(v, "rupees")
+    month, year = has(v, "month|[0-9 ]pm$"), has(v, "annum|year|/yr|p[.]a[.]|[0-9lk$ ]pa$|lpa")
+    salary = f"""SELECT 'customer_churn' AS table_name, 'salary' AS column_name, row_id, CASE WHEN {usd} THEN 5 WHEN {lakh} THEN 4 WHEN {thousand} THEN 3 WHEN {rupees} THEN CASE WHEN {month} THEN 2 WHEN {year} THEN 1 WHEN u = 2 THEN 2 ELSE 1 END
+ WHEN u IN (3, 4) THEN u WHEN {month} THEN 2 WHEN {year} THEN 1 ELSE u END AS unit_id FROM customer_churn LEFT JOIN (SELECT feed, unit_id AS u FROM feed_units WHERE field_name = 'salary') USING (feed) WHERE regexp_matches(salary, '[0-9]')"""
+    k = "kms_driven"
+    r_mile = has("remarks", "(odometer in|noted in|odo shows|reading is|marked in) (miles|mi)\\b")
+    r_thousand = has("remarks", "(odometer noted as thousand km|thousands of km|in ''000 km)")
+    kms = f"""SELECT 'car_data', 'kms_driven', row_id, CASE WHEN {has(k, 'mi')} THEN 12 WHEN {has(k, '(k|thousand) *k')} THEN 13 WHEN {has(k, 'k')} THEN 11 WHEN {r_mile} THEN 12 WHEN {r_thousand} THEN 13 ELSE u END
+ FROM car_data LEFT JOIN (SELECT feed, unit_id AS u FROM feed_units WHERE field_name = 'kms_driven') USING (feed) WHERE regexp_matches(kms_driven, '[0-9]')"""
+    p = "selling_price"
+    r = {"usd": "us[$]|in usd|us dollars", "thousand": "thousands of rupees|thousand inr|''000 rupees", "one": "full rupees|plain rupees|in rupees, not lakh"}
+    price = f"""SELECT 'car_data', 'selling_price', row_id, CASE WHEN {has(p, '[$]|usd')} THEN 25 WHEN {has(p, 'cr')} THEN 24 WHEN {has(p, 'l(a|$)|[0-9 ]l$')} THEN 21 WHEN {has(p, 'thousand|[0-9 ]k')} THEN 23 WHEN {has(p, 'rupees')} THEN 22
+ WHEN {has('remarks', r['usd'])} THEN 25 WHEN {has('remarks', r['thousand'])} THEN 23 WHEN {has('remarks', r['one'])} THEN 22 WHEN u = 25 AND {has(p, '₹')} THEN 22 ELSE u END
+ FROM car_data LEFT JOIN (SELECT feed, unit_id AS u FROM feed_units WHERE field_name = 'selling_price') USING (feed) WHERE regexp_matches(selling_price, '[0-9]')"""
+    return f"SELECT table_name, column_name, row_id, CAST(unit_id AS INT) AS unit_id FROM ({salary} UNION ALL {kms} UNION ALL {price}) WHERE unit_id NOT IN (1, 11, 21)"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p2_found": p2_sql(), "p3_found": p3_sql(), "p3_profile": profile_sql(), "p6_found": p6_sql(), "p7_found": p7_sql()}
