@@ -107,10 +107,11 @@ def _case(key: Column, mapping: dict, kind: str) -> Column:
     return F.try_element_at(F.create_map(*pairs), key).cast(kind) if pairs else F.lit(None).cast(kind)
 
 
-def with_unit(df: DataFrame, field: str, units: DataFrame, feeds: DataFrame, feed: str = "feed", remarks: str | None = None, out: str = "unit_id") -> DataFrame:
+def with_unit(df: DataFrame, field: str, units: DataFrame, feeds: DataFrame, feed: str = "feed", remarks: str | None = None, out: str = "unit_id", history: DataFrame | None = None, load: str = "load_no") -> DataFrame:
     """df with the unit id of each value of `field` that holds a digit, null for other values.
 
-    A null or unlisted feed says nothing; then the common unit (the one of factor 1) is assumed. A part that the named triple
+    What a feed means comes from the segments of its history (feed, first_load, last_load, unit_id) that changepoint.unit_segments found,
+    checked against the declared units, which prevail. A feed that neither knows says nothing; then the common unit (the one of factor 1) is assumed. A part that the named triple
     has no unit for gives way: a period first, then a currency's scale. Rows, order and other columns stay.
     """
     by_parts, parts, factors = _unit_ids(units, field)
@@ -122,33 +123,41 @@ def with_unit(df: DataFrame, field: str, units: DataFrame, feeds: DataFrame, fee
     kept = df.columns
     # each part is a column of its own, so that no pattern runs twice for a row; bare numbers say nothing
     says = F.when(c.rlike(r"[^0-9.+-]"), F.lower(c))
-    df = df.withColumn("_says", says)
-    said = says_distance(F.col("_says")) if distance else says_money(F.col("_says"))
-    df = df.withColumns({f"_v_{k}": v for k, v in said.items()})
+    df = df.withColumn("__unit_says", says)
+    said = says_distance(F.col("__unit_says")) if distance else says_money(F.col("__unit_says"))
+    df = df.withColumns({f"__unit_v_{k}": v for k, v in said.items()})
     nothing = F.lit(None).cast("string")
     remark = nothing if remarks is None else F.when(F.col(remarks).isNotNull(), remark_distance(F.col(remarks)) if distance else remark_price(F.col(remarks)))
-    df = df.withColumn("_remark", remark)
-    df = df.withColumns({f"_f_{i}": _case(F.col(feed), {k: parts[u][i] for k, u in feed_unit.items() if u in parts}, "string") for i in range(3)})
-    rem = F.col("_remark")
+    df = df.withColumn("__unit_remark", remark)
+    meant = _case(F.col(feed), feed_unit, "int")
+    if history is not None:
+        found = [r for r in _small(history, "the segments") if r["unit_id"] in parts]
+        spans = F.lit(None).cast("int")
+        for r in found:
+            spans = F.when((F.col(feed) == r["feed"]) & F.col(load).between(r["first_load"], r["last_load"]), F.lit(r["unit_id"])).otherwise(spans)
+        meant = F.coalesce(meant, spans)
+    df = df.withColumn("__unit_meant", meant)
+    df = df.withColumns({f"__unit_f_{i}": _case(F.col("__unit_meant"), {u: p[i] for u, p in parts.items()}, "string") for i in range(3)})
+    rem = F.col("__unit_remark")
     if distance:
         r_measure = _first((rem == "mile", "mile"), (rem.isNotNull(), "km"))
         r_scale = _first((rem == "thousand_km", "thousand"), (rem.isNotNull(), "one"))
-        measure = F.coalesce("_v_measure", r_measure, "_f_0", F.lit(base[0]))
+        measure = F.coalesce("__unit_v_measure", r_measure, "__unit_f_0", F.lit(base[0]))
         # a measure said in the value without a scale means single units of it
-        scale = F.coalesce("_v_scale", F.when(F.col("_v_measure").isNotNull(), F.lit("one")), r_scale, "_f_1", F.lit(base[1]))
-        df = df.withColumn("_key", F.concat_ws("|", measure, F.when(measure == "mile", F.lit("one")).otherwise(scale)))
+        scale = F.coalesce("__unit_v_scale", F.when(F.col("__unit_v_measure").isNotNull(), F.lit("one")), r_scale, "__unit_f_1", F.lit(base[1]))
+        df = df.withColumn("__unit_key", F.concat_ws("|", measure, F.when(measure == "mile", F.lit("one")).otherwise(scale)))
     else:
         r_cur = _first((rem == "usd", "usd"), (rem.isNotNull(), "inr"))
-        v_cur = F.coalesce("_v_currency", F.when(F.col("_v_scale").isNotNull() | F.col("_says").rlike(r"₹|\brs\b|inr"), F.lit("inr")))
-        currency = F.coalesce(v_cur, r_cur, "_f_0", F.lit(base[0]))
-        scale = F.coalesce("_v_scale", F.when(rem != "usd", rem), "_f_1", F.lit(base[1]))
-        df = df.withColumns({"_currency": currency, "_scale": scale})
-        period = F.coalesce("_v_period", "_f_2", F.lit(base[2])) if base[2] else None
+        v_cur = F.coalesce("__unit_v_currency", F.when(F.col("__unit_v_scale").isNotNull() | F.col("__unit_says").rlike(r"₹|\brs\b|inr"), F.lit("inr")))
+        currency = F.coalesce(v_cur, r_cur, "__unit_f_0", F.lit(base[0]))
+        scale = F.coalesce("__unit_v_scale", F.when(rem != "usd", rem), "__unit_f_1", F.lit(base[1]))
+        df = df.withColumns({"__unit_currency": currency, "__unit_scale": scale})
+        period = F.coalesce("__unit_v_period", "__unit_f_2", F.lit(base[2])) if base[2] else None
         usd = F.lit("usd|one|year" if base[2] else "usd|one")
-        inr = F.concat_ws("|", F.lit("inr"), "_scale", *([F.when(F.col("_scale") == "one", period).otherwise(F.lit("year"))] if base[2] else []))
-        df = df.withColumn("_key", F.when(F.col("_currency") == "usd", usd).otherwise(inr))
+        inr = F.concat_ws("|", F.lit("inr"), "__unit_scale", *([F.when(F.col("__unit_scale") == "one", period).otherwise(F.lit("year"))] if base[2] else []))
+        df = df.withColumn("__unit_key", F.when(F.col("__unit_currency") == "usd", usd).otherwise(inr))
     ids = {"|".join(x for x in p if x): i for p, i in by_parts.items()}
-    unit = F.when(c.rlike(r"[0-9]"), F.coalesce(_case(F.col("_key"), ids, "int"), F.lit(common).cast("int")))
+    unit = F.when(c.rlike(r"[0-9]"), F.coalesce(_case(F.col("__unit_key"), ids, "int"), F.lit(common).cast("int")))
     return df.select(*[F.col(f"`{k}`") for k in kept if k != out], unit.alias(out))
 
 
@@ -164,11 +173,11 @@ def convert(df: DataFrame, field: str, units: DataFrame, unit: str = "unit_id",
     return df.withColumn(out or f"{field}_common", number_in(F.col(field)) * _case(F.col(unit), factors, "double"))
 
 
-def foreign_units(df: DataFrame, fields: dict[str, str | None], units: DataFrame, feeds: DataFrame, table: str, row_id: str = "row_id", feed: str = "feed") -> DataFrame:
+def foreign_units(df: DataFrame, fields: dict[str, str | None], units: DataFrame, feeds: DataFrame, table: str, row_id: str = "row_id", feed: str = "feed", histories: dict[str, DataFrame] | None = None) -> DataFrame:
     """(table_name, column_name, row_id, unit_id) of every value that is not in its field's common unit. fields: field -> remarks column."""
     parts = []
     for field, remarks in fields.items():
         common = [i for i, f in _unit_ids(units, field)[2].items() if f == 1.0]
-        own = with_unit(df, field, units, feeds, feed, remarks, "_unit")
+        own = with_unit(df, field, units, feeds, feed, remarks, "_unit", (histories or {}).get(field))
         parts.append(own.filter(F.col("_unit").isNotNull() & ~F.col("_unit").isin(*common)).select(F.lit(table).alias("table_name"), F.lit(field).alias("column_name"), F.col(row_id).alias("row_id"), F.col("_unit").alias("unit_id")))
     return reduce(DataFrame.unionByName, parts)

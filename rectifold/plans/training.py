@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import R1_TOKENS, fold, is_missing, letters_and_digits, strip
-from ..operators import load_profile, neighbour_fill, units
-from ..session import table
+from ..operators import changepoint, load_profile, neighbour_fill, units
+from ..session import checkpoint, table
 from ..sources import line_gate
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     schemas = {"customer_churn": line_gate.CUSTOMER_CHURN, "car_data": line_gate.CAR_DATA}
-    _, apart = line_gate.split_lines(table(spark, sf_dir, "raw_lines"), schemas)
-    return apart.select("line_id", "reason")
+    return line_gate.set_apart(table(spark, sf_dir, "raw_lines"), schemas).select("line_id", "reason")
 
 
 def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,14 +76,36 @@ def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fill.filled_cells(filled_customers(spark, sf_dir), ["salary", "age", "department"])
 
 
+def unit_history(spark: SparkSession, sf_dir: str, t: str, field: str) -> DataFrame | None:
+    """(feed, first_load, last_load, level, unit_id): segments of the feeds' bare numbers, with the unit their level points to; None without any number."""
+    unit_t, feed_t = table(spark, sf_dir, "unit_factors"), table(spark, sf_dir, "feed_units")
+    bare = F.when(F.col(field).rlike(r"^[0-9]+(\.[0-9]+)?$"), F.col(field).try_cast("double"))
+    hist = checkpoint(changepoint.history(table(spark, sf_dir, t), "feed", "load_no", bare))  # a row per feed and load
+    factors = {r["unit_id"]: r["factor"] for r in unit_t.filter(F.col("field_name") == field).collect()}
+    common = [r["feed"] for r in feed_t.filter(F.col("field_name") == field).collect() if factors.get(r["unit_id"]) == 1.0]
+    level = hist.filter(F.col("source").isin(*common)).agg(F.expr("percentile(level, 0.5)")).first()[0] if common else None
+    if level is None:
+        return None
+    return checkpoint(changepoint.unit_segments(hist, factors, level).withColumnRenamed("source", "feed"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit_t, feed_t = table(spark, sf_dir, "unit_factors"), table(spark, sf_dir, "feed_units")
-    a = units.foreign_units(table(spark, sf_dir, "customer_churn"), {"salary": None}, unit_t, feed_t, "customer_churn")
-    return a.unionByName(units.foreign_units(table(spark, sf_dir, "car_data"), {"kms_driven": "remarks", "selling_price": "remarks"}, unit_t, feed_t, "car_data"))
+    out = []
+    for t, fields in (("customer_churn", {"salary": None}), ("car_data", {"kms_driven": "remarks", "selling_price": "remarks"})):
+        histories = {f: unit_history(spark, sf_dir, t, f) for f in fields}
+        out.append(units.foreign_units(table(spark, sf_dir, t), fields, unit_t, feed_t, t, histories=histories))
+    return out[0].unionByName(out[1])
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [(f, unit_history(spark, sf_dir, t, f)) for t, f in (("customer_churn", "salary"), ("car_data", "kms_driven"), ("car_data", "selling_price"))]
+    frames = [h.select(F.lit(f).alias("field_name"), "feed", "first_load", "last_load", "level", "unit_id") for f, h in parts if h is not None]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_loaded, p3_found, p3_profile, p3_drift, p6_found, p6_filled, p7_found)}
+    return {f.__name__: f for f in (p2_found, p2_loaded, p3_found, p3_profile, p3_drift, p6_found, p6_filled, p7_found, p7_segments)}
 
 
 # ---- SQL --------------------------------------------------------------------------------------------------------------------

@@ -54,7 +54,12 @@ def share(spark: SparkSession, thing: object) -> Broadcast:
 
 
 def received(shared: Broadcast) -> object:
-    return pickle.loads(shared.value)
+    """The object of a broadcast; a worker opens it once and keeps it, with all it remembers, for its later tasks."""
+    thing = getattr(shared, "_rectifold", None)
+    if thing is None:
+        thing = pickle.loads(shared.value)
+        shared._rectifold = thing
+    return thing
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -87,16 +87,9 @@ def _fields(line: Column, n: int) -> list[Column]:
     return out
 
 
-def gate(lines: DataFrame, schema: tuple[LineField, ...], line: str = "raw_line", prefix: str = "") -> DataFrame:
-    """lines and a struct per line: `{prefix}reason`, `{prefix}bad_field` and, for valid lines, `{prefix}record`.
-
-    reason is null for a line that loads, else the first that applies of broken_quoting, wrong_column_count and
-    invalid_value; bad_field names the first field that no prefix pattern carries past (null when the count is wrong).
-    A null line has one field, as an empty line has. A final carriage return is no part of the line; control characters
-    but line breaks, and the replacement character, make a field with `never` invalid. Extra columns stay as they are.
-    """
+def _verdict(text: Column, schema: tuple[LineField, ...]) -> tuple[Column, Column, list[Column]]:
+    """(reason, first bad field, values) of a line's text under a schema; both null for a line that loads."""
     n = len(schema)
-    text = F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\r\z", "")
     count = rf"\A{_ANY}(?:,{_ANY}){{{n - 1}}}\z"
     values = _fields(text, n)
     checks = [(k, f) for k, f in enumerate(schema) if f.must or f.never]
@@ -120,22 +113,45 @@ def gate(lines: DataFrame, schema: tuple[LineField, ...], line: str = "raw_line"
             if j == k:
                 ok = ok & content(k, f)
         bad = F.when(~ok, F.lit(schema[k].name)).otherwise(bad)
-    out = lines.withColumn(f"{prefix}reason", reason)
-    out = out.withColumn(f"{prefix}bad_field", F.when(F.col(f"{prefix}reason").isin("broken_quoting", "invalid_value"), bad))
+    return reason, bad, values
+
+
+def _text(line: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\r\z", "")
+
+
+def gate(lines: DataFrame, schema: tuple[LineField, ...], line: str = "raw_line") -> DataFrame:
+    """lines with `reason`, `bad_field` and, for lines that load, the struct `record`; columns of these names are replaced.
+
+    reason is null for a line that loads, else the first that applies of broken_quoting, wrong_column_count and
+    invalid_value; bad_field names the first field that no prefix pattern carries past (null when the count is wrong).
+    A null line has one field, as an empty line has. A final carriage return is no part of the line; control characters
+    but line breaks, and the replacement character, make a field with `never` invalid. Empty values load as null. Repeated lines are
+    judged alike; an empty table stays empty; other columns stay.
+    """
+    reason, bad, values = _verdict(_text(line), schema)
+    out = lines.withColumn("reason", reason)
+    out = out.withColumn("bad_field", F.when(F.col("reason").isin("broken_quoting", "invalid_value"), bad))
     record = F.struct(*[F.when(values[k] == "", F.lit(None)).otherwise(values[k]).alias(f.name) for k, f in enumerate(schema)])
-    return out.withColumn(f"{prefix}record", F.when(F.col(f"{prefix}reason").isNull(), record))
+    return out.withColumn("record", F.when(F.col("reason").isNull(), record))
+
+
+def set_apart(lines: DataFrame, schemas: dict[str, tuple[LineField, ...]], table: str = "feed_table", line: str = "raw_line") -> DataFrame:
+    """Lines of any table that do not load, with reason and bad_field, in one pass. Lines of a table without schema have reason unknown_table."""
+    reason, bad = F.lit("unknown_table"), F.lit(None).cast("string")
+    for name, schema in schemas.items():
+        r, b, _ = _verdict(_text(line), schema)
+        reason = F.when(F.col(table) == name, r).otherwise(reason)
+        bad = F.when(F.col(table) == name, b).otherwise(bad)
+    apart = lines.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return apart.withColumn("bad_field", F.when(F.col("reason").isin("broken_quoting", "invalid_value"), bad))
 
 
 def split_lines(lines: DataFrame, schemas: dict[str, tuple[LineField, ...]], table: str = "feed_table", line: str = "raw_line") -> tuple[dict[str, DataFrame], DataFrame]:
-    """({table: loaded rows}, set-apart lines with reason and bad_field). Lines of a table without schema are set apart as unknown_table."""
-    loaded, apart = {}, []
+    """({table: loaded rows}, lines set apart). Loaded rows keep the lines' other columns where no field has their name."""
+    loaded = {}
     for name, schema in schemas.items():
-        own = gate(lines.filter(F.col(table) == name), schema, line)
-        keep = [c for c in lines.columns if c != line and c.lower() not in {f.name for f in schema}]
-        loaded[name] = own.filter(F.col("reason").isNull()).select(*keep, "record.*")
-        apart.append(own.filter(F.col("reason").isNotNull()).drop("record"))
-    other = lines.filter(F.col(table).isNull() | ~F.col(table).isin(*schemas))
-    rest = other.withColumn("reason", F.lit("unknown_table")).withColumn("bad_field", F.lit(None).cast("string"))
-    for x in apart:
-        rest = rest.unionByName(x)
-    return loaded, rest
+        own = gate(lines.filter(F.col(table) == name), schema, line).filter(F.col("reason").isNull())
+        keep = [c for c in lines.columns if c != line and c.lower() not in {f.name for f in schema} | {"reason", "bad_field", "record"}]
+        loaded[name] = own.select(*[F.col(f"`{c}`") for c in keep], "record.*")
+    return loaded, set_apart(lines, schemas, table, line)
