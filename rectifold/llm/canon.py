@@ -7,7 +7,6 @@ up by itself: no shuffle at all, each distinct value of a batch once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,9 +29,11 @@ JOINERS = {"and", "n", "the", "of"}
 
 
 def _deletes(s: str, d: int) -> set[str]:
-    out = {s}
-    for k in range(1, min(d, len(s)) + 1):
-        out |= {"".join(ch for i, ch in enumerate(s) if i not in gone) for gone in map(set, combinations(range(len(s)), k))}
+    """s and everything that is left when up to d letters go."""
+    level = out = {s}
+    for _ in range(min(d, len(s))):
+        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+        out = out | level
     return out
 
 

@@ -11,6 +11,7 @@ TITLES = frozenset("mr mrs ms miss dr sr sra srta shri smt prof herr frau mme ml
 # Words for the legal form of an organisation, each with its full word.
 LEGAL = {"ltd": "limited", "limited": "limited", "pvt": "private", "private": "private", "p": "private", "corp": "corporation", "corporation": "corporation", "inc": "incorporated", "incorporated": "incorporated", "co": "company", "company": "company", "sons": "sons", "and": "and", "enterprises": "enterprises", "ent": "enterprises", "enterprise": "enterprises", "entp": "enterprises"}
 FORMS = frozenset(LEGAL.values())
+MARKS = FORMS - {"and"}
 # Short forms of first names, each with the names it may stand for.
 NICKNAMES = {
     "abby": "abigail", "alex": "alexander alejandro alejandra alexandra", "andy": "andrew", "drew": "andrew", "tony": "anthony antonio", "ben": "benjamin", "benny": "benjamin",
@@ -44,12 +45,41 @@ def _digits(s: str) -> bool:
     return any(ch.isdigit() for ch in s)
 
 
-def _typed(a: str, b: str) -> float:
+@memo(500_000)
+def _word(w: str) -> tuple[int, str, int, bool, tuple[str, ...]]:
+    """(set of letters as bits, the word as it sounds, its set of letters, whether it has a digit, full names it may be short for)."""
+    s = sounded(w)
+    full: tuple[str, ...] = ()
+    if 2 <= len(w) <= 8:
+        nicks = [n for n in BY_LETTER.get(w[0], ()) if n == w or (abs(len(n) - len(w)) <= 1 and (sounded(n) == s or (len(n) >= 4 and lcs_ratio(n, w) >= 0.85)))]
+        full = tuple(dict.fromkeys(f for n in nicks for f in NICKNAMES[n].split()))
+    return _letters(w), s, _letters(s), any(ch.isdigit() for ch in w), full
+
+
+def _letters(w: str) -> int:
+    bits = 0
+    for ch in w:
+        bits |= 1 << (ord(ch) & 63)
+    return bits
+
+
+def _may_reach(a: str, ma: int, b: str, mb: int, least: float) -> bool:
+    """False where letters that the other word lacks already keep the common subsequence too short."""
+    la, lb = len(a), len(b)
+    both = min(la - (ma & ~mb).bit_count(), lb - (mb & ~ma).bit_count())
+    return 2 * both >= least * (la + lb)
+
+
+def _typed(a: str, b: str, least: float = 0.0) -> float:
+    """Common-subsequence ratio of two words as written or as they sound; 0 where it cannot reach `least`."""
     if a == b:
         return 1.0
-    r = lcs_ratio(a, b)
-    sa, sb = sounded(a), sounded(b)
-    return max(r, 0.98 if sa == sb else lcs_ratio(sa, sb) - 0.02)
+    ma, sa, na, _, _ = _word(a)
+    mb, sb, nb, _, _ = _word(b)
+    if sa == sb:
+        return 0.98
+    r = lcs_ratio(a, b) if _may_reach(a, ma, b, mb, least) else 0.0
+    return max(r, lcs_ratio(sa, sb) - 0.02 if _may_reach(sa, na, sb, nb, least + 0.02) else 0.0)
 
 
 FULL: dict[str, list[str]] = {}
@@ -58,36 +88,40 @@ for _nick, _names in NICKNAMES.items():
         FULL.setdefault(_name, []).append(_nick)
 
 
-@memo(200_000)
-def _alias(a: str, b: str) -> bool:
-    """Nickname and full name, either of them with one typing error."""
-    if _known_alias(a, b):
-        return True
-    short, long = sorted((a, b), key=len)
-    nicks = {n for n in NICKNAMES if n == short or (abs(len(n) - len(short)) <= 1 and n[0] == short[0] and (sounded(n) == sounded(short) or (len(n) >= 4 and _typed(n, short) >= 0.85)))}
-    return any(f == long or (abs(len(f) - len(long)) <= 2 and _typed(f, long) >= 0.85) for n in nicks for f in NICKNAMES[n].split())
+BY_LETTER: dict[str, list[str]] = {}
+for _nick in NICKNAMES:
+    BY_LETTER.setdefault(_nick[0], []).append(_nick)
 
 
-def _known_alias(a: str, b: str) -> bool:
-    return b in NICKNAMES.get(a, "").split() or a in NICKNAMES.get(b, "").split() or bool(set(NICKNAMES.get(a, "").split()) & set(NICKNAMES.get(b, "").split()))
+def _alias(a: str, b: str) -> bool:
+    """Short form and full name, either of them with one typing error, or two short forms of one name."""
+    fa, fb = _word(a)[4], _word(b)[4]
+    if not fa and not fb:
+        return False
+    if any(f == b or (abs(len(f) - len(b)) <= 2 and _typed(f, b, 0.85) >= 0.85) for f in fa):
+        return True
+    if any(f == a or (abs(len(f) - len(a)) <= 2 and _typed(f, a, 0.85) >= 0.85) for f in fb):
+        return True
+    return a in NICKNAMES and b in NICKNAMES and bool(set(fa) & set(fb))
 
 
 def _pair(a: str, b: str) -> float:
     """Similarity of two words of a name: equality, nickname, initial, cut-short word, or typing error."""
     if a == b:
         return 1.0
-    if _digits(a) or _digits(b):
+    if _word(a)[3] or _word(b)[3]:
         return 0.0
     if len(a) == 1 or len(b) == 1:
         return 0.9 if a[0] == b[0] or sounded(a)[0] == sounded(b)[0] else 0.0
-    if _alias(a, b):
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if len(short) <= 8 and _alias(a, b):
         return 0.97
-    short, long = sorted((a, b), key=len)
     if len(short) >= 3 and long.startswith(short):
         return 0.93
-    r = _typed(a, b)
     n = len(short)
-    return r if r >= (LEAST_RATIO if n >= 5 else 0.72 if n == 4 else 0.66) else 0.0
+    least = LEAST_RATIO if n >= 5 else 0.72 if n == 4 else 0.66
+    r = _typed(a, b, least)
+    return r if r >= least else 0.0
 
 
 def _align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[list[tuple[str, str, float]], list[str], list[str]]:
@@ -106,8 +140,7 @@ def same_name(x: str, y: str) -> bool:
     a, b = tokens(x), tokens(y)
     if not a or not b or len(a) > 12 or len(b) > 12:
         return a == b and bool(a)
-    oa, ob = any(w in FORMS - {"and"} for w in a), any(w in FORMS - {"and"} for w in b)
-    if oa or ob:
+    if not MARKS.isdisjoint(a) or not MARKS.isdisjoint(b):
         return _same_org(a, b)
     if len(a) == 1 or len(b) == 1:
         ja, jb = "".join(a), "".join(b)
@@ -116,6 +149,10 @@ def same_name(x: str, y: str) -> bool:
     if not fa or not fb:
         return False
     if len(fa) >= 2 and len(fb) >= 2:
+        few, many = (fa, fb) if len(fa) <= len(fb) else (fb, fa)
+        for w in few:  # every word of the shorter name needs a counterpart
+            if not any(_pair(w, x) for x in many):
+                return False
         got, ra, rb = _align(tuple(fa), tuple(fb))
         if len(got) < 2 or (ra and rb) or len(ra) + len(rb) > 2:
             return False

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, fold, is_missing, letters_and_digits
-from ..session import checkpoint
+from ..session import checkpoint, written
 from .namematch import LEGAL, NICKNAMES, TITLES, same_model, same_name
 
 SUFFIX = 4  # shortest suffix that is indexed
@@ -32,14 +32,16 @@ def _accents() -> tuple[str, str]:
 def words(name: Column) -> Column:
     """The folded words of a name without titles and legal forms, each as it sounds, full names for short forms; initials are left out."""
     a, b = _accents()
-    text = F.lower(F.translate(fold(F.regexp_replace(name, r"['’]", "")), a, b))
-    text = F.regexp_replace(F.regexp_replace(text, r"\bm/s\b", " "), r"[^\p{L}\p{N}]+", " ")
-    parts = F.filter(F.split(F.trim(text), " +"), lambda w: (F.length(w) > 1) & ~w.isin(*TITLES, *LEGAL))
+    text = F.translate(fold(name), a + "'’", b)  # letters without counterpart go
+    text = F.regexp_replace(F.replace(text, F.lit("m/s "), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
+    parts = F.filter(F.split(text, " "), lambda w: (F.length(w) > 1) & ~w.isin(*TITLES, *LEGAL))
     full = F.create_map(*[F.lit(x) for n, names in NICKNAMES.items() for x in (n, names.split()[0])])
-    parts = F.transform(parts, lambda w: F.coalesce(F.try_element_at(full, w), w))
+    longest = max(map(len, NICKNAMES))
+    parts = F.transform(parts, lambda w: F.when(F.length(w) <= longest, F.coalesce(F.try_element_at(full, w), w)).otherwise(w))
     joined = F.array_join(parts, " ")
-    for x, y in (("ph", "f"), ("ee", "i"), ("oo", "u"), ("[qc]", "k"), ("w", "v"), ("y", "i"), ("z", "s"), ("([dt])h", "$1"), (r"(\p{L})\1+", "$1")):
-        joined = F.regexp_replace(joined, x, y)
+    for x, y in (("ph", "f"), ("ee", "i"), ("oo", "u"), ("dh", "d"), ("th", "t")):
+        joined = F.replace(joined, F.lit(x), F.lit(y))
+    joined = F.regexp_replace(F.translate(joined, "qcwyz", "kkvis"), r"([a-z])\1+", "$1")
     return F.filter(F.split(joined, " "), lambda w: w != "")
 
 
@@ -51,41 +53,58 @@ def suffixes(ws: Column, n: int) -> Column:
     return F.array_distinct(F.concat(last, cut))
 
 
-def candidate_pairs(forms: DataFrame, block: list[str], form: str, name: str, differ: str, too_common: int = TOO_COMMON) -> DataFrame:
-    """Distinct (a, b, name_a, name_b), a < b, of forms of one block that share an index key and differ in `differ`."""
-    src = forms.select(*block, F.col(form).alias("_f"), F.col(name).alias("_name"), F.col(differ).alias("_d"), words(F.col(name)).alias("_ws"))
-    level = src.withColumn("_k", F.explode(suffixes(F.col("_ws"), SUFFIX)))
-    keyed = None
+def _longest(ws: Column) -> Column:
+    """Keys for names that still crowd a block by a whole word: a word and the beginning of another."""
+    two = lambda x, i: F.transform(F.filter(ws, lambda y, j: j != i), lambda y: F.concat(F.lit("2:"), x, F.lit(" "), F.substring(y, 1, 2)))
+    return F.array_distinct(F.flatten(F.transform(ws, two)))
+
+
+def candidate_pairs(forms: DataFrame, form: str, name: str, block: str, too_common: int = TOO_COMMON) -> DataFrame:
+    """Distinct (a, b), a < b, of forms of one block that share an index key.
+
+    An index row is a hash of block and key, and a form. A key with up to too_common holders gives its pairs; the holders of a more
+    common key are indexed again under the next longer suffixes, at last under pairs of words, which give their pairs whatever their number.
+    """
+    hashed = lambda keys: F.transform(keys, lambda k: F.xxhash64(F.col(block), k))
+    src = forms.select(F.col(form).alias("_f"), F.col(name).alias("_name"), F.col(block))
+    level = src.select("_f", F.col(block), words(F.col("_name")).alias("_ws"))  # a column of its own, as the keys use it several times
+    level = level.select("_f", F.explode(hashed(suffixes(F.col("_ws"), SUFFIX))).alias("_k"))
+    out = None
     for longer in (*LONGER, None):
-        held = Window.partitionBy(*block, "_k")
-        level = level.withColumn("_held", F.count(F.lit(1)).over(held))
-        own = level.filter(F.col("_held") > 1) if longer is None else level.filter((F.col("_held") > 1) & (F.col("_held") <= too_common))
-        keyed = own if keyed is None else keyed.unionByName(own)
-        if longer is None:
-            break
-        crowded = level.filter(F.col("_held") > too_common).drop("_k", "_held").distinct()
-        if longer == 99:
-            # whole words still crowd a block: names that share two words, or a word and the beginning of another
-            w = F.col("_ws")
-            two = F.flatten(F.transform(w, lambda x, i: F.transform(F.filter(w, lambda y, j: j != i), lambda y: F.concat(F.lit("2:"), F.least(x, F.substring(y, 1, 1)), F.lit(" "), F.greatest(x, F.substring(y, 1, 1))))))
-            level = crowded.withColumn("_k", F.explode(F.array_distinct(two)))
+        held = written(level.withColumn("_held", F.count(F.lit(1)).over(Window.partitionBy("_k"))).filter(F.col("_held") > 1))
+        last = longer is None
+        own = held if last else held.filter(F.col("_held") <= too_common)
+        if last:
+            a, b = own.select("_k", F.col("_f").alias("a")), own.select("_k", F.col("_f").alias("b"))
+            pairs = a.join(b, "_k").filter(F.col("a") < F.col("b")).select("a", "b")
         else:
-            level = crowded.withColumn("_k", F.explode(suffixes(F.col("_ws"), longer)))
-    a = keyed.select(*block, "_k", F.col("_f").alias("a"), F.col("_name").alias("name_a"), F.col("_d").alias("_da"))
-    b = keyed.select(*block, "_k", F.col("_f").alias("b"), F.col("_name").alias("name_b"), F.col("_d").alias("_db"))
-    pairs = a.join(b, [*block, "_k"]).filter((F.col("a") < F.col("b")) & (F.col("_da") != F.col("_db")))
-    return pairs.select("a", "b", "name_a", "name_b").distinct()
+            groups = own.groupBy("_k").agg(F.sort_array(F.collect_list("_f")).alias("_fs"))  # at most too_common each
+            groups = groups.select("_fs", F.posexplode("_fs").alias("_i", "a"))
+            pairs = groups.select("a", F.explode(F.slice("_fs", F.col("_i") + 2, F.lit(too_common))).alias("b")).filter(F.col("a") < F.col("b"))
+        out = pairs if out is None else out.unionByName(pairs)
+        if last:
+            break
+        crowded = held.filter(F.col("_held") > too_common).select("_f").distinct()
+        if not crowded.limit(1).count():
+            break
+        again = src.join(crowded, "_f", "left_semi").select("_f", F.col(block), words(F.col("_name")).alias("_ws"))
+        keys = _longest(F.col("_ws")) if longer == LONGER[-1] else suffixes(F.col("_ws"), longer)
+        level = again.select("_f", F.explode(hashed(keys)).alias("_k"))
+    return out.distinct()
 
 
-def compare(pairs: DataFrame, same: Callable[[str, str], bool]) -> DataFrame:
-    """The pairs that `same` accepts, compared in Arrow batches."""
+def compare(pairs: DataFrame, forms: DataFrame, same: Callable[[str, str], bool]) -> DataFrame:
+    """The pairs (a, b) of forms (_form, _identity, _name) that differ in identity and that `same` accepts, compared in Arrow batches."""
 
     @F.pandas_udf("boolean")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
             yield pd.Series([same(p, q) for p, q in zip(x, y, strict=True)])
 
-    return pairs.filter(judge("name_a", "name_b")).select("a", "b")
+    left = forms.select(F.col("_form").alias("a"), F.col("_name").alias("name_a"), F.col("_identity").alias("_ia"))
+    right = forms.select(F.col("_form").alias("b"), F.col("_name").alias("name_b"), F.col("_identity").alias("_ib"))
+    both = pairs.join(left, "a").join(right, "b").filter(F.col("_ia") != F.col("_ib"))
+    return both.filter(judge("name_a", "name_b")).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -122,15 +141,16 @@ def link(rows: DataFrame, row_id: str, identity: Column, name: Column, block: di
     b = list(block)
     key = letters_and_digits(name)
     base = rows.select(F.col(row_id).alias("_row"), identity.alias("_identity"), name.alias("_name"), key.alias("_key"), *[c.alias(k) for k, c in block.items()])
-    base = base.filter((F.col("_key") != "") & F.col("_identity").isNotNull())
+    # written before it is filtered: a filter on derived columns would compute them again below
+    usable = (F.col("_key") != "") & F.col("_identity").isNotNull()
     for k in b:
-        base = base.filter(F.col(k).isNotNull())
-    base = base.select("_row", F.xxhash64(F.lit(7), "_identity").alias("_identity"), "_name", F.xxhash64(F.lit(1), "_identity", "_key", *b).alias("_form"), F.xxhash64(F.lit(2), *b).alias("_block"))
-    base = checkpoint(base)
+        usable = usable & F.col(k).isNotNull()
+    base = base.select("_row", F.xxhash64(F.lit(7), "_identity").alias("_identity"), "_name", F.when(usable, F.xxhash64(F.lit(1), "_identity", "_key", *b)).alias("_form"), F.xxhash64(F.lit(2), *b).alias("_block"))
+    base = written(base).filter(F.col("_form").isNotNull())
     # the spelling with most words stands for a form; copies that lost their spaces have fewer
     best = F.max_by("_name", F.struct(F.size(F.split("_name", r"[^\p{L}\p{N}]+")), F.col("_name")))
-    forms = base.groupBy("_block", "_form", "_identity").agg(best.alias("_name"))
-    links = compare(candidate_pairs(forms, ["_block"], "_form", "_name", "_identity", too_common), same_name)
+    forms = base.groupBy("_form").agg(best.alias("_name"), F.first("_identity").alias("_identity"), F.first("_block").alias("_block"))
+    links = compare(candidate_pairs(forms, "_form", "_name", "_block", too_common), forms, same_name)
     return base.join(components(links), F.col("_form") == F.col("node")).select(F.col("_row").alias(row_id), "entity", F.col("_identity").alias("identity"))
 
 
@@ -145,8 +165,8 @@ def model_pairs(spellings: DataFrame, row_id: str, name: str) -> DataFrame:
     """(id_a, id_b): all pairs of spellings of one model. Spellings that differ in case, spaces and punctuation only are one form."""
     base = spellings.select(F.col(row_id).alias("_row"), F.col(name).alias("_name"), letters_and_digits(F.col(name)).alias("_key")).filter(F.col("_key") != "")
     forms = base.groupBy("_key").agg(F.max_by("_name", F.struct(F.size(F.split("_name", r"[^\p{L}\p{N}]+")), F.col("_name"))).alias("_name"))
-    forms = forms.select(F.xxhash64("_key").alias("_form"), "_name", F.xxhash64("_key").alias("_d"), F.lit(0).alias("_block"))
-    found = components(compare(candidate_pairs(forms, ["_block"], "_form", "_name", "_d"), same_model))
+    forms = forms.select(F.xxhash64("_key").alias("_form"), "_name", F.xxhash64("_key").alias("_identity"), F.lit(0).alias("_block"))
+    found = components(compare(candidate_pairs(forms, "_form", "_name", "_block"), forms, same_model))
     rows = base.select("_row", F.xxhash64("_key").alias("_form")).join(found, F.col("_form") == F.col("node"), "left")
     members = rows.select(F.col("_row").alias(row_id), F.coalesce("entity", "_form").alias("entity"), F.col("_row").alias("identity"))
     return linked_pairs(members, row_id)

@@ -30,8 +30,13 @@ def memo(limit: int):
     return wrap
 
 
+ASCII_WORDS = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
 def plain(s: str) -> str:
     """Case-folded without accents; letters and digits stay, all else becomes one space."""
+    if s.isascii():
+        return " ".join(s.lower().translate(ASCII_WORDS).split())
     out = []
     for ch in unicodedata.normalize("NFKD", s.casefold()):
         if ch.isalnum():
@@ -95,5 +100,8 @@ def typing_distance(a: str, b: str, most: float = 9.0) -> float:
 def sounded(s: str) -> str:
     """s with each sound written one way, and letters that follow themselves once."""
     for a, b in SOUNDS:
-        s = s.replace(a, b)
+        if a in s:
+            s = s.replace(a, b)
+    if all(x != y for x, y in zip(s, s[1:], strict=False)):
+        return s
     return "".join(ch for i, ch in enumerate(s) if not i or ch != s[i - 1])
