@@ -131,16 +131,14 @@ def train(docs: DataFrame, doc_id: str, text: str, label: str, most: int = SAMPL
             for pdf in it:
                 got: Counter = Counter()
                 for t, lang in zip(pdf["_text"], pdf["_lang"], strict=True):
+                    seen: dict[str, set[str]] = {}  # a text counts a word once, so that long or repetitive texts do not outweigh others
                     for _, _, ws in own.segments(t):
-                        if len(ws) < LEAST_WORDS:
-                            continue
-                        if not first:
-                            s = own.score(ws)
-                            k = int(np.argmax(s))
-                            lang = LANGUAGES[k]
-                        for w in ws:
+                        if len(ws) >= LEAST_WORDS:
+                            seen.setdefault(lang if first else LANGUAGES[int(np.argmax(own.score(ws)))], set()).update(ws)
+                    for la, words in seen.items():
+                        for w in words:
                             for f in _features(w):
-                                got[f, lang] += 1
+                                got[f, la] += 1
                 yield pd.DataFrame([(f, la, n) for (f, la), n in got.items()], columns=["f", "lang", "n"])
 
         rows = sample.select("_text", "_lang").mapInPandas(count, "f string, lang string, n bigint")

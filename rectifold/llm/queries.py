@@ -89,5 +89,17 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.start", "s.end", "s.lang", F.round("s.confidence", 6).alias("confidence"), "s.sentence")
 
 
+def p1_sql() -> str:
+    fields = ", ".join(f"lower(upper(regexp_replace(coalesce({c}, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g')))" for c in ("customer_id", "name", "city"))
+    return f"SELECT row_id, min(row_id) OVER (PARTITION BY list_sort([{fields}])) AS first_row_id FROM customer_churn"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": f"SELECT first_row_id, row_id AS copy_row_id FROM ({p1_sql()}) WHERE row_id <> first_row_id",
+        "p1_records": f"SELECT first_row_id, count(*) AS n_copies FROM ({p1_sql()}) GROUP BY 1",
+    }
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_records, p4_found, p5_found, p8_ids, p9_containers, p9_filling, p10_found, p10_segments)}
