@@ -38,8 +38,11 @@ def collapse(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Full case folding: equal for texts that differ in letter case only."""
-    return F.lower(F.upper(c))
+    """Full case folding: equal for texts that differ in letter case only.
+
+    The concat keeps the optimizer from reading lower(upper(x)) as lower(x), which leaves letters such as the sharp s apart from their capitals.
+    """
+    return F.lower(F.concat(F.upper(c), F.lit("")))
 
 
 def letters_and_digits(c: Column) -> Column:

@@ -29,7 +29,7 @@ DROP_REPEATS = {drop!r}
 def main(source, target):
     spark = SparkSession.builder.appName("clean").getOrCreate()
     df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(source).na.fill("")
-    schema = df.schema.add("_row_id", "bigint")
+    schema = df.schema.add("_row_id", "long")
     df = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
     for c in COLUMNS:
         own = {{old: new for column, old, new in VALUE_EDITS if column == c}}

@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written
 
@@ -23,7 +24,7 @@ def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
         return df.withColumn(ROW, F.col(key).cast("bigint"))
     if ROW in df.columns:
         return df
-    schema = df.schema.add(ROW, "bigint", False)
+    schema = T.StructType([*df.schema.fields, T.StructField(ROW, T.LongType(), False)])
     return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
 
 
