@@ -56,14 +56,17 @@ def history(df: DataFrame, source: str, load: str, value: Column) -> DataFrame:
 def unit_segments(hist: DataFrame, factors: dict[int, float], common_level: float, penalty: float = 0.05) -> DataFrame:
     """(source, first_load, last_load, level, unit_id): segments of each history and the unit whose factor brings the level to the common one.
 
-    unit_id is null where no factor does within TOLERANCE; of several the nearest counts, then the smaller id. Loads weigh alike.
+    unit_id is null where no factor does within TOLERANCE; of several the nearest counts, then the smaller id. Loads weigh alike; the
+    penalty rises with the noise between neighbouring loads.
     """
     known = sorted(factors.items())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("load")
         levels, loads = pdf["level"].tolist(), pdf["load"].tolist()
-        starts = segments(levels, [1.0] * len(levels), penalty)
+        steps = sorted(abs(b - a) for a, b in zip(levels, levels[1:], strict=False)) or [0.0]
+        noise = (steps[len(steps) // 2] / 0.954) ** 2  # the median step of independent noise is 0.954 deviations
+        starts = segments(levels, [1.0] * len(levels), max(penalty, 3 * noise * math.log(len(levels) + 1)))
         rows = []
         for a, b in zip(starts, [*starts[1:], len(levels)], strict=True):
             level = sum(levels[a:b]) / (b - a)

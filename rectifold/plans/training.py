@@ -137,6 +137,14 @@ def p2_sql() -> str:
     return f"SELECT line_id, reason FROM (SELECT line_id, {reason} AS reason FROM (SELECT line_id, feed_table, {text} AS line FROM raw_lines)) WHERE reason IS NOT NULL"
 
 
+def p2_loaded_sql() -> str:
+    """Values of the lines that load, read off field by field with an unanchored pattern."""
+    text = "regexp_replace(coalesce(raw_line, ''), '\\\\r$', '')"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    bare = lambda k: f"trim(trim(trim(regexp_extract({text}, {quote('^' + (f'(?:{_ANY},){{{k}}}' if k else '') + '(' + _ANY + ')')}, 1), ' \t'), '\"'), ' \t')"
+    return f"SELECT line_id, {bare(0)} AS customer_id, CAST(nullif({bare(2)}, '') AS INT) AS age, nullif({bare(4)}, '') AS join_date, {bare(7)} AS churn FROM raw_lines WHERE feed_table = 'customer_churn' AND line_id NOT IN (SELECT line_id FROM ({p2_sql()}))"
+
+
 def p3_sql() -> str:
     num = "'^[+-]?[0-9]+(\\.[0-9]+)?$'"
     parts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, load_no, {missing_sql(c)} AS gone, coalesce(regexp_matches({c}, {num}), false) AS plain, CASE WHEN regexp_matches({c}, {num}) THEN CAST({c} AS DOUBLE) END AS x FROM {t}" for t, cols in PROFILED.items() for c in cols)
@@ -181,4 +189,4 @@ def p7_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": p2_sql(), "p3_found": p3_sql(), "p3_profile": profile_sql(), "p6_found": p6_sql(), "p7_found": p7_sql()}
+    return {"p2_found": p2_sql(), "p2_loaded": p2_loaded_sql(), "p3_found": p3_sql(), "p3_profile": profile_sql(), "p6_found": p6_sql(), "p7_found": p7_sql()}
