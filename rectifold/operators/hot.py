@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 4096
+SALTS = 64
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int, total: int | None = None) -> DataFrame:
@@ -17,3 +18,21 @@ def hot_keys(df: DataFrame, keys: list[str], min_rows: int, total: int | None =
     total = df.count() if total is None else total
     least = max(min_rows, -(-total // MAX_HOT_KEYS))
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") >= least)
+
+
+def first_of_groups(keyed: DataFrame, keys: list[str], row_id: str, min_rows: int = 100_000, total: int | None = None) -> DataFrame:
+    """(row_id, first): the smallest row id among the rows of equal keys, for every row.
+
+    Rows of hot keys are salted: a minimum per salt, a minimum of those, sent back by a broadcast of at most MAX_HOT_KEYS rows, so they
+    meet in no task. All other rows take one shuffle and a window.
+    """
+    keyed = keyed.select(F.col(row_id).alias("_id"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    own, other = [f"_k{i}" for i in range(len(keys))], [f"_h{i}" for i in range(len(keys))]
+    hot = hot_keys(keyed.select(*own), own, min_rows, total).select(*[F.col(k).alias(h) for k, h in zip(own, other, strict=True)])
+    same = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(own, other, strict=True)]
+    cold = keyed.join(F.broadcast(hot), same, "left_anti").select("_id", F.min("_id").over(Window.partitionBy(*own)).alias("_first"))
+    heavy = keyed.join(F.broadcast(hot), same, "left_semi")
+    salted = heavy.groupBy(*own, F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("_salt")).agg(F.min("_id").alias("_m"))
+    firsts = salted.groupBy(*[F.col(k).alias(h) for k, h in zip(own, other, strict=True)]).agg(F.min("_m").alias("_first"))
+    heavy = heavy.join(F.broadcast(firsts), same).select("_id", "_first")
+    return cold.unionByName(heavy).select(F.col("_id").alias(row_id), F.col("_first").alias("first"))
