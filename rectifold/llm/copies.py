@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import letters_and_digits
-from ..operators.hot import hot_keys
-
-SALTS = 64
+from ..operators.hot import first_of_groups
 
 
 def canonical_key(fields: list[str]) -> tuple:
@@ -27,15 +25,7 @@ def membership(df: DataFrame, row_id: str, fields: list[str], hot_rows: int = 10
     """
     k1, k2 = canonical_key(fields)
     keyed = df.select(F.col(row_id).alias("_id"), k1.alias("_k1"), k2.alias("_k2"))
-    hot = hot_keys(keyed.select("_k1", "_k2"), ["_k1", "_k2"], hot_rows, df.count()).select(F.col("_k1").alias("_h1"), F.col("_k2").alias("_h2"))
-    is_hot = (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2"))
-    cold = keyed.join(F.broadcast(hot), is_hot, "left_anti")
-    cold = cold.select("_id", F.min("_id").over(Window.partitionBy("_k1", "_k2")).alias("_first"))
-    heavy = keyed.join(F.broadcast(hot), is_hot, "left_semi")
-    salted = heavy.groupBy("_k1", "_k2", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("_salt")).agg(F.min("_id").alias("_m"))
-    firsts = salted.groupBy(F.col("_k1").alias("_h1"), F.col("_k2").alias("_h2")).agg(F.min("_m").alias("_first"))
-    heavy = heavy.join(F.broadcast(firsts), is_hot).select("_id", "_first")
-    return cold.unionByName(heavy).select(F.col("_id").alias(row_id), F.col("_first").alias("first_row_id"))
+    return first_of_groups(keyed, ["_k1", "_k2"], "_id", hot_rows, df.count()).select(F.col("_id").alias(row_id), F.col("first").alias("first_row_id"))
 
 
 def copies(df: DataFrame, row_id: str, fields: list[str], hot_rows: int = 100_000) -> DataFrame:
