@@ -170,10 +170,16 @@ def same_number(a: Column, b: Column) -> Column:
     return same_exact(a, b) | F.coalesce(F.abs(num(a) - num(b)) < 1e-6, F.lit(False))
 
 
-def cell_metrics(dirty: DataFrame, truth: DataFrame, output: DataFrame, tolerant: bool = False, skip: tuple[str, ...] = ()) -> DataFrame:
-    """One row: errors, changed, fixed, damaged, wrong and missed cells, precision, recall, f1 and harm in percent, over rows all three have."""
+def same_boolean(a: Column, b: Column) -> Column:
+    """Equal texts or numbers, or two words for the same truth value."""
+    truth = lambda c: F.when(F.lower(F.trim(c)).isin("yes", "true", "t", "1", "y"), F.lit(True)).when(F.lower(F.trim(c)).isin("no", "false", "f", "0", "n"), F.lit(False))
+    return same_number(a, b) | F.coalesce(truth(a) == truth(b), F.lit(False))
+
+
+def cell_metrics(dirty: DataFrame, truth: DataFrame, output: DataFrame, tolerant: bool = False, skip: tuple[str, ...] = (), booleans: bool = False) -> DataFrame:
+    """tolerant compares numbers by value, booleans also truth words. One row: errors, changed, fixed, damaged, wrong and missed cells, precision, recall, f1 and harm in percent, over rows all three have."""
     cols = [c for c in data_columns(dirty) if c in truth.columns and c in output.columns and c not in skip]
-    same = same_number if tolerant else same_exact
+    same = same_boolean if booleans else same_number if tolerant else same_exact
     side = lambda df, s: df.select(ROW, *[F.col(f"`{c}`").cast("string").alias(f"{s}_{i}") for i, c in enumerate(cols)])
     j = side(dirty, "d").join(side(truth, "t"), ROW).join(side(output, "o"), ROW)
     trio = F.explode(F.array(*[F.struct(F.col(f"d_{i}").alias("d"), F.col(f"t_{i}").alias("t"), F.col(f"o_{i}").alias("o")) for i in range(len(cols))]))

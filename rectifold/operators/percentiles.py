@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def exact_percentiles(counts: DataFrame, keys: list[str], value: str, n: str, fractions: dict[str, float]) -> DataFrame:

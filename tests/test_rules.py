@@ -161,3 +161,22 @@ def test_profile_numbers(spark):
     assert profile.column_stats(vc).first()["numeric_parse_rate"] == 0.8
     assert profile.missing_tokens(vc).first()["token"] == "N/A"
     assert with_row_id(spark.createDataFrame([("a",), ("b",)], "x string")).orderBy(ROW).collect()[1][ROW] == 1
+
+
+def test_safe_imputation_by_neighbours_and_by_median(spark):
+    rows = [(str(i), str(2 * i), "yes") for i in range(10)] + [("", "9", "yes"), ("4", "n/a", ""), ("x", "8", "yes")]
+    df = frame(spark, ["a", "b", "c"], rows)
+    t = rules.learn(df)
+    p = engine.Proposed(t, rules.numbered(rules.impute_safe(t)))
+    assert {x.id: x.evidence for x in p.proposals if x.id.startswith("IMPUTE_num")} == {"IMPUTE_numeric_a": "method: nearest neighbours", "IMPUTE_numeric_b": "method: nearest neighbours"}
+    got = cells(p)
+    assert got[11, "b"] == "8" and got[11, "c"] == "yes" and 4 <= int(got[10, "a"]) <= 5
+    t = rules.learn(df)
+    p = engine.Proposed(t, rules.numbered(rules.impute_safe(t, knn_rows=5)))
+    assert p.proposals[0].evidence == "method: median" and cells(p)[10, "a"] == "4"
+
+
+def test_truth_words_count_as_equal(spark):
+    mk = lambda v: frame(spark, ["v"], [(v,)])
+    assert engine.cell_metrics(mk("yes"), mk("True"), mk("yes"), booleans=True).first()["errors"] == 0
+    assert engine.cell_metrics(mk("yes"), mk("no"), mk("yes"), booleans=True).first()["errors"] == 1
