@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions.text import TYPE_NULL_TOKENS, UI_BLANK, collapse, strip
+from ..session import written
 from . import detect, rules
 from .percentiles import exact_percentiles
 from .values import ROW, data_columns, long_form
@@ -218,7 +219,10 @@ def clean_pipeline(df: DataFrame, cfg: Config | None = None, corrections: DataFr
         kinds = {f.name: f.dataType for f in out.schema.fields}
         fixed, _ = override(text, corrections)
         out = fixed.select(ROW, *[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) for c in data_columns(out)])
-    out = handle_outliers(impute(drop_duplicates(type_clean(category_clean(fix_typos(out, cfg)))), numeric, categorical, cfg=cfg), outliers)
+    # every step decides from the whole table, so each result is written once instead of being worked out again by all later steps
+    out = written(category_clean(written(fix_typos(written(out), cfg))))
+    out = written(drop_duplicates(written(type_clean(out))))
+    out = written(handle_outliers(impute(out, numeric, categorical, cfg=cfg), outliers))
     cols = data_columns(df)
     side = lambda d, s: d.select(ROW, *[F.col(f"`{c}`").cast("string").alias(f"{s}{i}") for i, c in enumerate(cols)])
     j = side(df, "a").join(side(out, "b"), ROW, "left").withColumn("_kept", F.lit(True))
