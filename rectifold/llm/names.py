@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES, fold, is_missing, letters_and_digits
+from ..functions.text import SPACES, is_missing, letters_and_digits
 from ..session import checkpoint, written
 from .namematch import LEGAL, NICKNAMES, TITLES, same_model, same_name
 
@@ -32,7 +32,7 @@ def _accents() -> tuple[str, str]:
 def words(name: Column) -> Column:
     """The folded words of a name without titles and legal forms, each as it sounds, full names for short forms; initials are left out."""
     a, b = _accents()
-    text = F.translate(fold(name), a + "'’", b)  # letters without counterpart go
+    text = F.translate(F.lower(name), a + "'’", b)  # letters without counterpart go
     text = F.regexp_replace(F.replace(text, F.lit("m/s "), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
     parts = F.filter(F.split(text, " "), lambda w: (F.length(w) > 1) & ~w.isin(*TITLES, *LEGAL))
     full = F.create_map(*[F.lit(x) for n, names in NICKNAMES.items() for x in (n, names.split()[0])])
