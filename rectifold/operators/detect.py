@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
-from ..functions.similarity import indel_ratio, token_sort_ratio
+from ..functions.similarity import close_pairs, indel_ratio, sorted_words, token_sort_ratio
 from ..functions.text import TYPE_NULL_TOKENS, collapse, strip, title
+from ..session import written
 from . import rules
 from .percentiles import exact_percentiles
 from .values import ROW, data_columns, long_form
@@ -73,9 +74,9 @@ def exact_duplicates(df: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, cfg: Config, first: int = 1000, band: int = 49) -> DataFrame:
-    """Of the first 1,000 rows without exact repeats each with the next 49, by token-sort ratio from the threshold to below 100.
+    """T3 as single-node tools bound it, kept for comparison with them: of the first 1,000 rows without exact repeats each with the next 49.
 
-    A band join on positions: bucket of 50 and the next one, so no row meets more than two buckets.
+    `near_duplicates_all` searches all rows and is what `detect_all` and the queries use. A band join on positions: bucket of 50 and the next one, so no row meets more than two buckets.
     """
     cols = data_columns(df)
     dup = rules.duplicate_rows(df, cols).select(ROW)
@@ -91,6 +92,67 @@ def near_duplicates(df: DataFrame, cfg: Config, first: int = 1000, band: int = 4
     return issue(pairs, "near_duplicate", "__all__", F.col("ra"), F.round(F.col("sim") / 100, 3), 0.80, "flag_for_review", F.col("ra"), human=True, row=F.col("rb"))
 
 
+def near_duplicates_all(df: DataFrame, cfg: Config) -> DataFrame:
+    """All pairs of rows without exact repeats, by token-sort ratio from the threshold to below 100.
+
+    Rows of equal sorted words are one key. Keys are laid in blocks by length; each pair of blocks whose lengths can reach the threshold
+    is one group, in which letters in common rule out pairs before they are compared. The output grows with the number of near pairs.
+    """
+    cols = data_columns(df)
+    least = cfg.near_duplicate_similarity
+    dup = rules.duplicate_rows(df, cols).select(ROW)
+    sig = F.lower(F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")) for c in cols]))
+    rows = df.join(dup, ROW, "left_anti").select(ROW, sig.alias("sig")).filter(F.length("sig") >= 5)
+    rows = rows.select(ROW, sorted_words("sig").alias("key"))
+    rows = written(rows.withColumn("kid", F.min(ROW).over(Window.partitionBy("key"))))
+    keys = rows.filter(F.col(ROW) == F.col("kid")).select("kid", "key", F.length("key").alias("len"))
+    sizes = sorted((r["len"], r["count"]) for r in keys.groupBy("len").count().collect())  # a row per length
+    blocks, where = _length_blocks(sizes)
+    reach = [(i, j) for i, (lo, hi) in enumerate(blocks) for j, (low, _) in enumerate(blocks) if i <= j and low * least <= hi * (200.0 - least)]
+    if not reach:
+        return _union(df, [])
+    spark = df.sparkSession
+    sides = [(i, n, False) for n, (i, _) in enumerate(reach)] + [(j, n, True) for n, (i, j) in enumerate(reach) if i != j]
+    at = spark.createDataFrame(where, "len int, first int, pieces int")
+    placed = keys.join(F.broadcast(at), "len").select("kid", "key", (F.col("first") + F.pmod(F.xxhash64("kid"), F.col("pieces"))).cast("int").alias("block"))
+    groups = placed.join(F.broadcast(spark.createDataFrame(sides, "block int, pair int, right boolean")), "block").select("pair", "right", "kid", "key")
+    groups = groups.repartition(min(len(reach), 256), "pair")  # a number of its own, as adaptive execution would join the few bytes into one task
+
+    def near(pdf):
+        import pandas as pd
+
+        right = pdf["right"].to_numpy(dtype=bool)
+        same = reach[int(pdf["pair"].iloc[0])]
+        same = same[0] == same[1]
+        a, b = pdf[~right], pdf[~right] if same else pdf[right]
+        i, j, sim = close_pairs(list(a["key"]), list(b["key"]), least, same)
+        return pd.DataFrame({"a": a["kid"].to_numpy()[i], "b": b["kid"].to_numpy()[j], "sim": sim})
+
+    found = groups.groupBy("pair").applyInPandas(near, "a bigint, b bigint, sim double").filter("sim < 100")
+    pairs = found.join(rows.select(F.col("kid").alias("a"), F.col(ROW).alias("x")), "a").join(rows.select(F.col("kid").alias("b"), F.col(ROW).alias("y")), "b")
+    pairs = pairs.select(F.least("x", "y").alias("ra"), F.greatest("x", "y").alias("rb"), "sim")
+    return issue(pairs, "near_duplicate", "__all__", F.col("ra"), F.round(F.col("sim") / 100, 3), 0.80, "flag_for_review", F.col("ra"), human=True, row=F.col("rb"))
+
+
+def _length_blocks(sizes: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Blocks (shortest, longest) of texts, and per length its (length, first block, number of blocks), from sorted (length, n)."""
+    most = min(8000, max(500, sum(n for _, n in sizes) // 32))
+    blocks: list[tuple[int, int]] = []
+    where, held = [], 0
+    for length, n in sizes:
+        limit = max(1, min(most, 4_000_000 // max(1, length)))
+        if held and held + n <= limit:
+            blocks[-1] = (blocks[-1][0], length)
+            where.append((length, len(blocks) - 1, 1))
+            held += n
+            continue
+        pieces = -(-n // limit)
+        where.append((length, len(blocks), pieces))
+        blocks += [(length, length)] * pieces
+        held = n if pieces == 1 else 0
+    return blocks, where
+
+
 def _number(c: Column) -> Column:
     t = strip(c.cast("string"))
     return F.when(t.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), t.try_cast("double"))
@@ -379,7 +441,7 @@ def detect_all(df: DataFrame, cfg: Config | None = None, target: str | None = No
     cfg = cfg or Config()
     parts = []
     for name, f in {
-        "exact_duplicates": lambda: exact_duplicates(df), "near_duplicates": lambda: near_duplicates(df, cfg), "missing": lambda: missing(df, cfg), "ranges": lambda: ranges(df, cfg), "dates": lambda: dates(df), "types": lambda: types(df),
+        "exact_duplicates": lambda: exact_duplicates(df), "near_duplicates": lambda: near_duplicates_all(df, cfg), "missing": lambda: missing(df, cfg), "ranges": lambda: ranges(df, cfg), "dates": lambda: dates(df), "types": lambda: types(df),
         "inconsistencies": lambda: inconsistencies(df), "typos": lambda: typos(df, cfg), "outliers": lambda: outliers(df, cfg), "column_shapes": lambda: column_shapes(df), "correlations": lambda: correlations(df, target), "contradictions": lambda: contradictions(df),
     }.items():
         try:

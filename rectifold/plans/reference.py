@@ -210,7 +210,7 @@ def _(s, d):
 
 @query("near_dup_band")
 def _(s, d):
-    return detect.near_duplicates(view(s, d, "SELECT p_partkey AS id, p_name, p_brand, p_type FROM {part}"), CFG)
+    return detect.near_duplicates_all(view(s, d, "SELECT p_partkey AS id, p_name, p_brand, p_type FROM {part}"), CFG)
 
 
 # ---- profiles ---------------------------------------------------------------------------------------------------------------
