@@ -1,7 +1,7 @@
 """Issue detectors over typed or text tables, one flat issue row each, and their unified, de-duplicated list.
 
 Detectors that judge values work on the value counts and join the verdict back; a verdict table is one row per distinct bad value, so
-adaptive execution broadcasts it when it is small. Caps that define an output are applied with group limits; nothing is capped for cost.
+adaptive execution broadcasts it when it is small. Nothing is capped by default; a cap that is asked for is applied with a group limit.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ def _counts(df: DataFrame) -> DataFrame:
     return _text_cells(df).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
 
 
-def missing(df: DataFrame, cfg: Config, cap: int | None = 5000) -> DataFrame:
-    """Null, blank or a configured token; by default the first 5,000 of a column, as the output is defined so."""
+def missing(df: DataFrame, cfg: Config, cap: int | None = None) -> DataFrame:
+    """Null, blank or a configured token; with a cap only the first so many of a column."""
     cells = _text_cells(df).filter(F.col("value").isNull() | F.lower(strip(F.col("value"))).isin(*cfg.missing_tokens))
     if cap:
         cells = cells.withColumn("_rn", F.row_number().over(Window.partitionBy("column").orderBy(ROW))).filter(F.col("_rn") <= cap)
@@ -328,8 +328,8 @@ def typos(df: DataFrame, cfg: Config, max_categories: int = 100) -> DataFrame:
     return issue(cells.join(verdict, ["column", "key"]), "spelling_typo", F.col("column"), F.col("value"), s, s, F.when(s >= 0.95, "auto_correct").otherwise("flag_for_review"), F.col("sug"), human=s < 0.95)
 
 
-def column_shapes(df: DataFrame, rare_cap: int = 25) -> DataFrame:
-    """Constant and nearly unique columns, dominating classes, rare categories (25 rows each)."""
+def column_shapes(df: DataFrame, rare_cap: int | None = None) -> DataFrame:
+    """Constant and nearly unique columns, dominating classes, rare categories; with a cap only the first so many rows of each category."""
     counts = _counts(df).filter("value is not null")
     per = counts.groupBy("column").agg(F.count(F.lit(1)).alias("u"), F.sum("n").alias("n"), F.max("n").alias("top"))
     none = F.lit(None).cast("bigint")
@@ -338,8 +338,9 @@ def column_shapes(df: DataFrame, rare_cap: int = 25) -> DataFrame:
     imbalance = issue(per.filter("u > 1 and top > 0.95 * n"), "class_imbalance", F.col("column"), None, 1.0, 0.0, "report_only", row=none)
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     rare = counts.join(per.filter("n > 100 and u between 2 and 50").select("column", F.col("n").alias("all")), "column").filter((F.col("n") < 0.01 * F.col("all")) & F.col("column").isin(*text or [""])).select("column", "value")
-    w = Window.partitionBy("column", "value").orderBy(ROW)
-    cells = _judged(df, rare).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= rare_cap)
+    cells = _judged(df, rare)
+    if rare_cap:
+        cells = cells.withColumn("_rn", F.row_number().over(Window.partitionBy("column", "value").orderBy(ROW))).filter(F.col("_rn") <= rare_cap)
     return reduce(DataFrame.unionByName, [constant, high, imbalance, issue(cells, "rare_category", F.col("column"), F.col("value"), 0.9, 0.0, "report_only")])
 
 

@@ -37,3 +37,11 @@ def test_near_duplicates_of_all_rows(spark):
     want = {(a, b) for a in range(len(srt)) for b in range(a + 1, len(srt)) if abs(len(srt[a]) - len(srt[b])) < 8 and 90 <= ratio(srt[a], srt[b]) < 100}
     got = [(int(r["suggested_value"]), r["row"]) for r in detect.near_duplicates_all(df, CFG).collect()]
     assert {(3, 1010), (900, 1019)} <= want and sorted(got) == sorted(want)
+
+
+def test_every_missing_cell_and_rare_row_is_reported(spark):
+    df = spark.range(60_000).select(F.col("id").alias(ROW), F.when(F.col("id") % 10 == 0, "N/A").otherwise("x").alias("kind"), F.when(F.col("id") % 500 == 0, "rare").when(F.col("id") % 2 == 0, "a").otherwise("b").alias("cls"))
+    assert detect.missing(df, CFG).count() == 6000
+    assert detect.missing(df, CFG, 5000).count() == 5000
+    assert detect.column_shapes(df).filter("issue_type = 'rare_category'").count() == 120
+    assert detect.column_shapes(df, 25).filter("issue_type = 'rare_category'").count() == 25
