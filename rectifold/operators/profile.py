@@ -13,7 +13,6 @@ from . import rules
 from .percentiles import exact_percentiles
 from .values import ROW, data_columns, long_form
 
-SHAPE_CELLS = 5000
 # Name parts and patterns of the logical types.
 DATE_HINTS = ("date", "time", "dob", "birth", "created", "joined", "timestamp")
 SCHEMA_EMAIL = r"^[\w\.-]+@[\w\.-]+\.\w+$"
@@ -25,9 +24,10 @@ def first_cells(df: DataFrame, k: int) -> DataFrame:
     return long_form(df).filter("value <> ''").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
 
 
-def shapes(df: DataFrame, cells: int = SHAPE_CELLS, top: int = 5) -> DataFrame:
-    """(column, shape, n, share, rank) over the first 5,000 non-empty cells of each column."""
-    counts = first_cells(df, cells).groupBy("column", shape(F.col("value")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+def shapes(df: DataFrame, cells: int | None = None, top: int = 5) -> DataFrame:
+    """(column, shape, n, share, rank) over all non-empty cells of each column, or over its first `cells`. Counts combine on the map side."""
+    filled = first_cells(df, cells) if cells else long_form(df).filter("value <> ''")
+    counts = filled.groupBy("column", shape(F.col("value")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("column")
     counts = counts.withColumn("share", F.col("n") / F.sum("n").over(w))
     return counts.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "shape"))).withColumn("dominant", F.col("rank") <= top).withColumn("minority", F.col("share") < 0.05)

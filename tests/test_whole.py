@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rectifold.config import Config
 from rectifold.functions.similarity import close_pairs, ratio
-from rectifold.operators import detect
+from rectifold.operators import detect, mlutility, profile
 from rectifold.operators.values import ROW
 
 CFG = Config()
@@ -45,3 +45,9 @@ def test_every_missing_cell_and_rare_row_is_reported(spark):
     assert detect.missing(df, CFG, 5000).count() == 5000
     assert detect.column_shapes(df).filter("issue_type = 'rare_category'").count() == 120
     assert detect.column_shapes(df, 25).filter("issue_type = 'rare_category'").count() == 25
+
+
+def test_shapes_of_all_cells(spark):
+    df = spark.range(6000).select(F.col("id").alias(ROW), F.when(F.col("id") < 5500, "ab1").otherwise("1-a").alias("v"))
+    got = {r["shape"]: (r["n"], r["share"]) for r in profile.shapes(df).collect()}
+    assert got == {"aa#": (5500, 5500 / 6000), "#-a": (500, 500 / 6000)}
