@@ -57,10 +57,10 @@ class Encoding:
         return out
 
 
-def utility(tables: dict[str, DataFrame], clean: str, target: str | None = None, rows: int = 25_000, trees: int = 40, depth: int = 12, seed: int = 42) -> DataFrame:
+def utility(tables: dict[str, DataFrame], clean: str, target: str | None = None, rows: int | None = None, trees: int = 40, depth: int = 12, seed: int = 42) -> DataFrame:
     """(model, metric, value) per table: accuracy, f1, precision and recall, or r2, mae and rmse, on test rows of the clean table.
 
-    The first `rows` rows are used, as the measure is defined. Rows are split 70 to 30 by a hash of their id among ids all tables have; features are
+    All rows are used, or the first `rows` of each table. Rows are split 70 to 30 by a hash of their id among ids all tables have; features are
     encoded as the clean table has them, so columns line up.
     """
     from pyspark.ml.classification import RandomForestClassifier
@@ -73,7 +73,7 @@ def utility(tables: dict[str, DataFrame], clean: str, target: str | None = None,
     target = target or infer_target(base)
     if target is None:
         return spark.createDataFrame([], "model string, metric string, value double")
-    heads = {k: d.orderBy(ROW).limit(rows) for k, d in tables.items()}
+    heads = {k: d.orderBy(ROW).limit(rows) for k, d in tables.items()} if rows else dict(tables)
     ids = reduce(lambda a, b: a.join(b, ROW, "left_semi"), [d.select(ROW) for d in heads.values()])
     cols = [c for c in data_columns(base) if c != target and all(c in d.columns for d in tables.values())]
     enc = Encoding(heads[clean], cols)

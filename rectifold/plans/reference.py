@@ -576,7 +576,7 @@ def _(s, d):
 def _(s, d):
     base = view(s, d, "SELECT o_orderkey AS id, o_orderstatus, o_orderpriority, o_totalprice, o_custkey % 7 AS bucket FROM {orders}")
     dirty, _ = corrupt.inject(base, {"missing_value": 0.1, "outlier": 0.05}, columns=["o_totalprice", "bucket"])
-    return mlutility.utility({"dirty": dirty, "truth": base}, "truth", "o_orderstatus", trees=10, depth=5)
+    return mlutility.utility({"dirty": dirty, "truth": base}, "truth", "o_orderstatus")
 
 
 def queries() -> dict[str, Query]:

@@ -51,3 +51,12 @@ def test_shapes_of_all_cells(spark):
     df = spark.range(6000).select(F.col("id").alias(ROW), F.when(F.col("id") < 5500, "ab1").otherwise("1-a").alias("v"))
     got = {r["shape"]: (r["n"], r["share"]) for r in profile.shapes(df).collect()}
     assert got == {"aa#": (5500, 5500 / 6000), "#-a": (500, 500 / 6000)}
+
+
+def test_models_use_all_rows(spark):
+    i = F.col("id")
+    noise = i < 25_000  # rows beyond can be learned
+    y = F.when(F.when(noise, F.pmod(F.xxhash64("id"), F.lit(2))).otherwise(i % 2) == 0, "a").otherwise("b")
+    df = spark.range(50_000).select(i.alias(ROW), F.when(noise, -(i % 100).cast("double")).otherwise((i % 2 + 1).cast("double")).alias("x"), y.alias("y"))
+    got = {r["metric"]: r["value"] for r in mlutility.utility({"truth": df}, "truth", "y", trees=3, depth=3).collect()}
+    assert got["accuracy"] > 0.7
