@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from .similar import lcs_ratio, memo, plain, sounded, typing_distance
 
 LEAST_RATIO = 0.74  # of two tokens that one of them mistypes
+LONG = 12  # words beyond which shared words are taken out before the rest is aligned
 
 # Forms of address and articles that are no part of a name.
 TITLES = frozenset("mr mrs ms miss dr sr sra srta shri smt prof herr frau mme mlle m/s messrs the jr".split())
@@ -135,11 +138,35 @@ def _align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[list[tuple[str, str,
     return got, [a[i] for i in ua], [b[j] for j in ub]
 
 
+def _unshared(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Both without the words they share, each as often as it is shared."""
+    both = Counter(a) & Counter(b)
+    out = []
+    for ws in (a, b):
+        left, rest = both.copy(), []
+        for w in ws:
+            if left[w] > 0:
+                left[w] -= 1
+            else:
+                rest.append(w)
+        out.append(tuple(rest))
+    return out[0], out[1]
+
+
 def same_name(x: str, y: str) -> bool:
-    """Whether two names of one place and day mean the same person or organisation."""
+    """Whether two names of one place and day mean the same person or organisation. Of names of over LONG words only the words they do not share are aligned."""
     a, b = tokens(x), tokens(y)
-    if not a or not b or len(a) > 12 or len(b) > 12:
-        return a == b and bool(a)
+    if not a or not b:
+        return False
+    if max(len(a), len(b)) > LONG:
+        ra, rb = _unshared(a, b)
+        if not ra and not rb:
+            return True
+        if abs(len(a) - len(b)) > 2:
+            return False
+        kept = min(len(a) - len(ra), 2)  # shared words that stand for all of them
+        shared = [w for w in dict.fromkeys(a) if w in set(b)][:kept]
+        a, b = (*shared, *ra), (*shared, *rb)
     if not MARKS.isdisjoint(a) or not MARKS.isdisjoint(b):
         return _same_org(a, b)
     if len(a) == 1 or len(b) == 1:
@@ -182,6 +209,11 @@ def _same_org(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return max(s for _, _, s in got) >= 0.8
 
 
+def model_numbers(x: str) -> str:
+    """The digits of a model's name in order of size; spellings of one model have the same."""
+    return "".join(sorted(ch for w in tokens(x) for ch in w if ch.isdigit()))
+
+
 def same_model(x: str, y: str) -> bool:
     """Whether two spellings mean the same car model: every word has its counterpart, numbers and single letters are equal."""
     a, b = tokens(x), tokens(y)

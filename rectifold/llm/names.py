@@ -1,8 +1,9 @@
 """Links spellings of one entity: suffix blocking refined by other fields, comparison by longest common subsequence, components.
 
-Candidates share an index key: (block fields, suffix of a word). A word gives its shortest admitted suffix; where a refined key
-is still held by too many names, its holders move to longer suffixes and in the end to pairs of words, so no holder is dropped and no
-key gathers an unbounded group. Pairs are compared in Arrow batches; links become components by label exchange.
+A name form is one folded name in one block (place and day), whatever ids use it. Two forms are candidates when they are of one block and share
+a suffix of a word and the beginning or end of another word; where one of them has a single full word, the suffix alone. This holds at
+every size: blocks of few forms are paired where they are, larger ones through an index of hashed keys, and a key that many forms hold is
+compared in square tiles of bounded size, so no holder and no link is dropped and no task gathers an unbounded group.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, is_missing, letters_and_digits
+from ..operators.hot import hot_keys
 from ..session import checkpoint, written
-from .namematch import LEGAL, NICKNAMES, TITLES, same_model, same_name
+from .namematch import LEGAL, NICKNAMES, TITLES, model_numbers, same_model, same_name
 
 SUFFIX = 4  # shortest suffix that is indexed
-TOO_COMMON = 64  # holders of a refined key beyond which longer suffixes take over
-LONGER = (6, 9, 99)
+TILE = 64  # forms that are paired at a time
+HOT_ROWS = 100_000  # rows from which a block may be handled apart
+MANY_WORDS = 6  # words beyond which only words side by side make a key
 
 
 def _accents() -> tuple[str, str]:
@@ -30,12 +33,12 @@ def _accents() -> tuple[str, str]:
 
 
 def words(name: Column) -> Column:
-    """The folded words of a name without titles and legal forms, each as it sounds, full names for short forms; initials are left out."""
+    """The folded words of a name without titles and legal forms, each as it sounds, with all full names of short forms beside them (a|b); initials are left out."""
     a, b = _accents()
     text = F.translate(F.lower(name), a + "'’", b)  # letters without counterpart go
     text = F.regexp_replace(F.replace(text, F.lit("m/s "), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
     parts = F.filter(F.split(text, " "), lambda w: (F.length(w) > 1) & ~w.isin(*TITLES, *LEGAL))
-    full = F.create_map(*[F.lit(x) for n, names in NICKNAMES.items() for x in (n, names.split()[0])])
+    full = F.expr("map(" + ", ".join(f"'{n}', '{'|'.join([n, *names.split()])}'" for n, names in NICKNAMES.items()) + ")")
     longest = max(map(len, NICKNAMES))
     parts = F.transform(parts, lambda w: F.when(F.length(w) <= longest, F.coalesce(F.try_element_at(full, w), w)).otherwise(w))
     joined = F.array_join(parts, " ")
@@ -45,66 +48,102 @@ def words(name: Column) -> Column:
     return F.filter(F.split(joined, " "), lambda w: w != "")
 
 
-def suffixes(ws: Column, n: int) -> Column:
-    """Index keys of a name: the suffix of each word, and that of the word without its last letter, which mistyped ends need."""
-    tail = lambda w, k: F.when(F.length(w) > k, F.substr(w, F.length(w) - F.lit(k - 1))).otherwise(w)
-    last = F.transform(ws, lambda w: tail(w, n))
-    cut = F.transform(F.filter(ws, lambda w: F.length(w) > n), lambda w: F.concat(F.lit("~"), tail(F.substr(w, F.lit(1), F.length(w) - 1), n)))
-    return F.array_distinct(F.concat(last, cut))
+def suffixes(word: Column) -> Column:
+    """Suffix keys of a word's forms: the suffix of each, and that of the form without its last letter, as a letter may be missing or too many at the end."""
+    tail = lambda w: F.when(F.length(w) > SUFFIX, F.substr(w, F.length(w) - F.lit(SUFFIX - 1))).otherwise(w)
+    both = lambda w: F.array(tail(w), F.when(F.length(w) > SUFFIX, tail(F.substr(w, F.lit(1), F.length(w) - 1))))
+    return F.array_compact(F.flatten(F.transform(F.split(word, r"\|"), both)))
 
 
-def _longest(ws: Column) -> Column:
-    """Keys for names that still crowd a block by a whole word: a word and the beginning of another."""
-    two = lambda x, i: F.transform(F.filter(ws, lambda y, j: j != i), lambda y: F.concat(F.lit("2:"), x, F.lit(" "), F.substring(y, 1, 2)))
-    return F.array_distinct(F.flatten(F.transform(ws, two)))
+def ends(word: Column) -> Column:
+    """What refines a key: beginning and end of each form of a word; of two letters in words of up to eight, of three in those of three and more, so that words one edit apart share one."""
+    n = F.length
+    end = lambda w, k: F.concat(F.lit(f"{k}>"), F.substr(w, n(w) - F.lit(k - 1)))
+    begin = lambda w, k: F.concat(F.lit(f"{k}<"), F.substring(w, 1, k))
+    each = lambda w: F.array(F.when(n(w) <= 8, begin(w, 2)), F.when(n(w) <= 8, end(w, 2)), F.when(n(w) >= 3, begin(w, 3)), F.when(n(w) >= 6, end(w, 3)))
+    return F.array_compact(F.flatten(F.transform(F.split(word, r"\|"), each)))
 
 
-def candidate_pairs(forms: DataFrame, form: str, name: str, block: str, too_common: int = TOO_COMMON) -> DataFrame:
-    """Distinct (a, b), a < b, of forms of one block that share an index key.
+def with_keys(forms: DataFrame, name: str) -> DataFrame:
+    """forms with `_single` (at most one full word), `_k1` (suffixes) and `_k2` (suffix of a word with beginning or end of another), hashed.
 
-    An index row is a hash of block and key, and a form. A key with up to too_common holders gives its pairs; the holders of a more
-    common key are indexed again under the next longer suffixes, at last under pairs of words, which give their pairs whatever their number.
+    Names of more than MANY_WORDS words combine words side by side only, so that keys grow with the words and not with their square.
     """
-    hashed = lambda keys: F.transform(keys, lambda k: F.xxhash64(F.col(block), k))
-    src = forms.select(F.col(form).alias("_f"), F.col(name).alias("_name"), F.col(block))
-    level = src.select("_f", F.col(block), words(F.col("_name")).alias("_ws"))  # a column of its own, as the keys use it several times
-    level = level.select("_f", F.explode(hashed(suffixes(F.col("_ws"), SUFFIX))).alias("_k"))
-    out = None
-    for longer in (*LONGER, None):
-        held = written(level.withColumn("_held", F.count(F.lit(1)).over(Window.partitionBy("_k"))).filter(F.col("_held") > 1))
-        last = longer is None
-        own = held if last else held.filter(F.col("_held") <= too_common)
-        if last:
-            a, b = own.select("_k", F.col("_f").alias("a")), own.select("_k", F.col("_f").alias("b"))
-            pairs = a.join(b, "_k").filter(F.col("a") < F.col("b")).select("a", "b")
-        else:
-            groups = own.groupBy("_k").agg(F.sort_array(F.collect_list("_f")).alias("_fs"))  # at most too_common each
-            groups = groups.select("_fs", F.posexplode("_fs").alias("_i", "a"))
-            pairs = groups.select("a", F.explode(F.slice("_fs", F.col("_i") + 2, F.lit(too_common))).alias("b")).filter(F.col("a") < F.col("b"))
-        out = pairs if out is None else out.unionByName(pairs)
-        if last:
-            break
-        crowded = held.filter(F.col("_held") > too_common).select("_f").distinct()
-        if not crowded.limit(1).count():
-            break
-        again = src.join(crowded, "_f", "left_semi").select("_f", F.col(block), words(F.col("_name")).alias("_ws"))
-        keys = _longest(F.col("_ws")) if longer == LONGER[-1] else suffixes(F.col("_ws"), longer)
-        level = again.select("_f", F.explode(hashed(keys)).alias("_k"))
-    return out.distinct()
-
-
-def compare(pairs: DataFrame, forms: DataFrame, same: Callable[[str, str], bool]) -> DataFrame:
-    """The pairs (a, b) of forms (_form, _identity, _name) that differ in identity and that `same` accepts, compared in Arrow batches."""
+    out = forms.withColumn("_ws", words(F.col(name)))
+    out = out.withColumn("_sa", F.transform("_ws", suffixes)).withColumn("_sb", F.transform("_ws", ends))
+    none = F.array().cast("array<string>")
+    beside = lambda i: F.flatten(F.transform("_sb", lambda sb, j: F.when(i != j, sb).otherwise(none)))
+    near = lambda i: F.flatten(F.transform(F.slice("_sb", F.greatest(i, F.lit(1)), F.least(i + 1, F.lit(2)) + 1), lambda sb, j: F.when(j != F.least(i, F.lit(1)), sb).otherwise(none)))
+    others = lambda i: F.when(F.size("_ws") <= MANY_WORDS, beside(i)).otherwise(near(i))
+    pairs = lambda sa, i: F.flatten(F.transform(sa, lambda a: F.transform(others(i), lambda b: F.hash(a, b))))
+    out = out.withColumn("_k2", F.array_distinct(F.flatten(F.transform("_sa", pairs))))
+    out = out.withColumn("_k1", F.array_distinct(F.transform(F.flatten("_sa"), lambda a: F.hash(a))))
+    return out.withColumn("_single", F.size("_ws") <= 1).drop("_ws", "_sa", "_sb")
+
+
+SIDE = ("_form", "_name", "_lo", "_hi")
+
+
+def _both(a: Column, b: Column) -> list[Column]:
+    """The columns of a pair in order of its forms."""
+    swap = a["_form"] > b["_form"]
+    return [F.when(swap, y[c]).otherwise(x[c]).alias(f"{s}{c}") for s, x, y in (("a", a, b), ("b", b, a)) for c in SIDE]
+
+
+def packs(forms: DataFrame, tile: int = TILE) -> DataFrame:
+    """(_block, _n, _fs): forms (_form, _name, _lo, _hi, _block, _n) with their keys, in lists of about `tile` forms of one block; one list for a block of up to `tile`.
+
+    _n is the number of forms of the block, null for a block of unknown size, whose forms have a list each. Forms alone in their block stay only if several
+    identities use them.
+    """
+    keyed = with_keys(forms.filter(F.coalesce(F.col("_n") > 1, F.lit(True)) | (F.col("_lo") < F.col("_hi"))), "_name")
+    one = F.struct(*SIDE, "_single", "_k1", "_k2")
+    part = F.when(F.col("_n") <= tile, 0).otherwise(F.pmod("_form", F.ceil(F.col("_n") / tile)))
+    known = keyed.filter(F.col("_n").isNotNull()).groupBy("_block", "_n", part.alias("_part")).agg(F.collect_list(one).alias("_fs")).drop("_part")
+    return known.unionByName(keyed.filter(F.col("_n").isNull()).select("_block", "_n", F.array(one).alias("_fs")))
+
+
+def candidate_pairs(packed: DataFrame, tile: int = TILE) -> DataFrame:
+    """Distinct pairs (a_form < b_form, with name and smallest and largest identity of both) of forms of one block that share a key, from `packs`.
+
+    Blocks of up to `tile` forms are paired in place; the others by an index of hashed keys. A key's holders are laid in tiles of
+    about `tile` by `tile` forms, each of them a group of its own.
+    """
+    small = packed.filter((F.col("_n") <= tile) & (F.col("_n") > 1)).select("_fs", F.explode("_fs").alias("x"))
+    share = lambda x, y: F.arrays_overlap(x["_k2"], y["_k2"]) | ((x["_single"] | y["_single"]) & F.arrays_overlap(x["_k1"], y["_k1"]))
+    near = F.filter("_fs", lambda y: (F.col("x")["_form"] < y["_form"]) & share(F.col("x"), y))
+    near = F.transform(near, lambda y: F.struct(*[y[c].alias(c) for c in SIDE]))
+    local = small.select("x", F.explode(near).alias("y")).select(*_both(F.col("x"), F.col("y")))
+
+    large = packed.filter(F.coalesce(F.col("_n") > tile, F.lit(True))).select("_block", F.explode("_fs").alias("f"))
+    key = lambda left, *k: F.struct(F.xxhash64("_block", *k).alias("k"), left.alias("left"))
+    keys = F.concat(F.transform("f._k2", lambda k: key(F.lit(True), k)), F.transform("f._k1", lambda k: key(F.col("f._single"), k, F.lit(1))))
+    index = written(large.select(*[F.col(f"f.{c}") for c in SIDE], F.explode(keys).alias("_k")).select(*SIDE, F.col("_k.k").alias("_k"), F.col("_k.left").alias("_left")))
+    held = index.groupBy("_k").agg(F.sum(F.col("_left").cast("bigint")).alias("_nl"), F.count(F.lit(1)).alias("_nr")).filter((F.col("_nl") > 0) & (F.col("_nr") > 1))
+    placed = index.join(held, "_k").withColumn("_rows", F.ceil(F.col("_nl") / tile)).withColumn("_cols", F.ceil(F.col("_nr") / tile))
+    i, j = F.pmod("_form", F.col("_rows")), F.pmod("_form", F.col("_cols"))
+    at = lambda r, c, left, right: F.struct(r.cast("bigint").alias("r"), c.cast("bigint").alias("c"), F.lit(left).alias("left"), F.lit(right).alias("right"))
+    as_left = F.when(F.col("_left"), F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: at(i, c, True, False))).otherwise(F.array().cast("array<struct<r:bigint,c:bigint,left:boolean,right:boolean>>"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("_rows") - 1), lambda r: at(r, j, False, True))
+    lone = (F.col("_rows") == 1) & (F.col("_cols") == 1) & F.col("_left")
+    tiles = F.when(lone, F.array(at(F.lit(0), F.lit(0), True, True))).otherwise(F.concat(as_left, as_right))
+    placed = placed.select("_k", F.struct(*SIDE).alias("f"), F.explode(tiles).alias("t"))
+    groups = placed.groupBy("_k", "t.r", "t.c").agg(F.collect_list(F.when(F.col("t.left"), F.col("f"))).alias("_ls"), F.collect_list(F.when(F.col("t.right"), F.col("f"))).alias("_rs"))
+    crossed = groups.select("_rs", F.explode("_ls").alias("x"))
+    crossed = crossed.select("x", F.explode(F.filter("_rs", lambda y: y["_form"] != F.col("x")["_form"])).alias("y")).select(*_both(F.col("x"), F.col("y")))
+    return local.unionByName(crossed.dropDuplicates(["a_form", "b_form"]))
+
+
+def accepted(pairs: DataFrame, same: Callable[[str, str], bool]) -> DataFrame:
+    """The pairs (a, b) with more than one identity that `same` accepts, compared in Arrow batches."""
 
     @F.pandas_udf("boolean")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
-            yield pd.Series([same(p, q) for p, q in zip(x, y, strict=True)])
+            yield pd.Series([same(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    left = forms.select(F.col("_form").alias("a"), F.col("_name").alias("name_a"), F.col("_identity").alias("_ia"))
-    right = forms.select(F.col("_form").alias("b"), F.col("_name").alias("name_b"), F.col("_identity").alias("_ib"))
-    both = pairs.join(left, "a").join(right, "b").filter(F.col("_ia") != F.col("_ib"))
-    return both.filter(judge("name_a", "name_b")).select("a", "b")
+    several = F.least("a_lo", "b_lo") < F.greatest("a_hi", "b_hi")
+    return pairs.filter(several).filter(judge("a_name", "b_name")).select(F.col("a_form").alias("a"), F.col("b_form").alias("b"))
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -132,11 +171,12 @@ def day(c: Column) -> Column:
     return F.when(~is_missing(c), F.lower(short))
 
 
-def link(rows: DataFrame, row_id: str, identity: Column, name: Column, block: dict[str, Column], too_common: int = TOO_COMMON) -> DataFrame:
+def link(rows: DataFrame, row_id: str, identity: Column, name: Column, block: dict[str, Column], tile: int = TILE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(row_id, entity, identity): rows whose names mean the same entity within one block, with another identity among them.
 
-    Rows with a missing name or block value link to nothing. Rows of equal identity, folded name and block are one form and are
-    compared once, however many copies there are; ids of forms are 64-bit hashes of these values and two independent ones are kept.
+    Rows with a missing name, identity or block value link to nothing: the block fields must agree. Rows of equal folded name and block are one
+    form and are compared once, however many ids and copies there are; a form of one identity links only to forms of others. Ids of
+    forms are 64-bit hashes. Names without any full word link to nothing.
     """
     b = list(block)
     key = letters_and_digits(name)
@@ -145,28 +185,52 @@ def link(rows: DataFrame, row_id: str, identity: Column, name: Column, block: di
     usable = (F.col("_key") != "") & F.col("_identity").isNotNull()
     for k in b:
         usable = usable & F.col(k).isNotNull()
-    base = base.select("_row", F.xxhash64(F.lit(7), "_identity").alias("_identity"), "_name", F.when(usable, F.xxhash64(F.lit(1), "_identity", "_key", *b)).alias("_form"), F.xxhash64(F.lit(2), *b).alias("_block"))
+    base = base.select("_row", F.xxhash64(F.lit(7), "_identity").alias("_identity"), F.when(usable, F.col("_name")).alias("_name"), F.when(usable, F.xxhash64(F.lit(1), "_key", *b)).alias("_form"), F.xxhash64(F.lit(2), *b).alias("_block"))
     base = written(base).filter(F.col("_form").isNotNull())
     # the spelling with most words stands for a form; copies that lost their spaces have fewer
     best = F.max_by("_name", F.struct(F.size(F.split("_name", r"[^\p{L}\p{N}]+")), F.col("_name")))
-    forms = base.groupBy("_form").agg(best.alias("_name"), F.first("_identity").alias("_identity"), F.first("_block").alias("_block"))
-    links = compare(candidate_pairs(forms, "_form", "_name", "_block", too_common), forms, same_name)
+    made = [best.alias("_name"), F.min("_identity").alias("_lo"), F.max("_identity").alias("_hi")]
+    hot = hot_keys(base.select("_block"), ["_block"], hot_rows)  # at most hot.MAX_HOT_KEYS rows
+    cold = base.join(F.broadcast(hot), "_block", "left_anti").repartition("_block").groupBy("_block", "_form").agg(*made)
+    cold = cold.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_block")))
+    heavy = base.join(F.broadcast(hot), "_block", "left_semi").groupBy("_block", "_form").agg(*made).withColumn("_n", F.lit(None).cast("bigint"))
+    packed = written(packs(cold.unionByName(heavy), tile))
+    own = packed.select(F.explode("_fs").alias("f")).filter(F.col("f._lo") < F.col("f._hi")).select(*[F.col(f"f.{c}").alias(f"{s}{c}") for s in "ab" for c in SIDE])  # several ids under one name
+    links = accepted(candidate_pairs(packed, tile).unionByName(own), same_name)
     return base.join(components(links), F.col("_form") == F.col("node")).select(F.col("_row").alias(row_id), "entity", F.col("_identity").alias("identity"))
 
 
-def linked_pairs(members: DataFrame, row_id: str) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of rows of one entity with different identities."""
-    a = members.select("entity", F.col(row_id).alias("id_a"), F.col("identity").alias("_ia"))
-    b = members.select("entity", F.col(row_id).alias("id_b"), F.col("identity").alias("_ib"))
-    return a.join(b, "entity").filter((F.col("id_a") < F.col("id_b")) & (F.col("_ia") != F.col("_ib"))).select("id_a", "id_b")
+def membership(members: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, first): each linked row with the smallest row of its entity, which represents it."""
+    firsts = members.groupBy("entity").agg(F.min(row_id).alias("first"))
+    return members.join(firsts, "entity").select(row_id, "first")
+
+
+def linked_pairs(members: DataFrame, row_id: str, tile: int = 1000) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of rows of one entity with different identities, for those who need them all.
+
+    The output is the square of an entity's rows; its rows meet in tiles of about `tile` by `tile` rows, so that no task has a large entity alone.
+    """
+    size = members.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / tile).alias("_m"))
+    rows = members.select("entity", F.col(row_id).alias("_id"), F.col("identity").alias("_i")).join(size, "entity").withColumn("_at", F.pmod(F.xxhash64("_id"), F.col("_m")))
+    all_of = F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1)
+    a = rows.select("entity", F.col("_id").alias("id_a"), F.col("_i").alias("_ia"), F.col("_at").alias("_r"), F.explode(all_of).alias("_c"))
+    b = rows.select("entity", F.col("_id").alias("id_b"), F.col("_i").alias("_ib"), F.col("_at").alias("_c"), F.explode(all_of).alias("_r"))
+    return a.join(b, ["entity", "_r", "_c"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("_ia") != F.col("_ib"))).select("id_a", "id_b")
 
 
 def model_pairs(spellings: DataFrame, row_id: str, name: str) -> DataFrame:
-    """(id_a, id_b): all pairs of spellings of one model. Spellings that differ in case, spaces and punctuation only are one form."""
+    """(id_a, id_b): all pairs of spellings of one model. Spellings that differ in case, spaces and punctuation only are one form; the numbers of a name are its block."""
+
+    @F.pandas_udf("string")
+    def numbers(s: pd.Series) -> pd.Series:
+        return s.map(model_numbers)
+
     base = spellings.select(F.col(row_id).alias("_row"), F.col(name).alias("_name"), letters_and_digits(F.col(name)).alias("_key")).filter(F.col("_key") != "")
     forms = base.groupBy("_key").agg(F.max_by("_name", F.struct(F.size(F.split("_name", r"[^\p{L}\p{N}]+")), F.col("_name"))).alias("_name"))
-    forms = forms.select(F.xxhash64("_key").alias("_form"), "_name", F.xxhash64("_key").alias("_identity"), F.lit(0).alias("_block"))
-    found = components(compare(candidate_pairs(forms, "_form", "_name", "_block"), forms, same_model))
+    own = F.xxhash64("_key")
+    forms = forms.select(own.alias("_form"), "_name", own.alias("_lo"), own.alias("_hi"), F.xxhash64(numbers("_name")).alias("_block"), F.lit(None).cast("bigint").alias("_n"))
+    found = components(accepted(candidate_pairs(written(packs(forms))), same_model))
     rows = base.select("_row", F.xxhash64("_key").alias("_form")).join(found, F.col("_form") == F.col("node"), "left")
     members = rows.select(F.col("_row").alias(row_id), F.coalesce("entity", "_form").alias("entity"), F.col("_row").alias("identity"))
     return linked_pairs(members, row_id)

@@ -57,10 +57,18 @@ def meant_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def linked_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = meant_customers(spark, sf_dir)
-    named = names.link(rows, "row_id", F.col("identity"), F.col("name"), {"_day": names.day(F.col("join_date")), "_place": F.col("place")})
-    people = names.linked_pairs(named, "row_id").select(F.lit("customer_churn.name").alias("field_name"), "id_a", "id_b")
+    return names.link(rows, "row_id", F.col("identity"), F.col("name"), {"_day": names.day(F.col("join_date")), "_place": F.col("place")})
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each linked row with the row that represents its entity."""
+    return names.membership(linked_customers(spark, sf_dir), "row_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = names.linked_pairs(linked_customers(spark, sf_dir), "row_id").select(F.lit("customer_churn.name").alias("field_name"), "id_a", "id_b")
     cars = names.model_pairs(table(spark, sf_dir, "car_name_spellings"), "spelling_id", "car_name")
     return people.unionByName(cars.select(F.lit("car_data.car_name").alias("field_name"), "id_a", "id_b"))
 
@@ -103,4 +111,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_records, p4_found, p5_found, p8_ids, p9_containers, p9_filling, p10_found, p10_segments)}
+    return {f.__name__: f for f in (p1_found, p1_records, p4_entities, p4_found, p5_found, p8_ids, p9_containers, p9_filling, p10_found, p10_segments)}

@@ -153,6 +153,33 @@ def test_links_equal_comparing_all_pairs(spark, too_common):
     assert got == want and want
 
 
+@pytest.mark.parametrize("fillers,tile,hot", [(10, 64, 100_000), (90, 64, 100_000), (90, 8, 100_000), (90, 64, 20)])
+def test_crowded_keys_lose_no_link(spark, fillers, tile, hot):
+    """One day and place with many names on one suffix: links do not depend on the crowd, not even with typing errors in both words or a single full word."""
+    rng = random.Random(7)
+    heads = ["Arvelo", "Bendrik", "Corvina", "Dralmuth", "Essiva", "Fendral", "Gorvath", "Hespira", "Ilvanna", "Jorduna"]
+    names_ = [(i, f"CUST_{i}", f"{heads[i % 10][: 3 + i // 10 % 4]}{'uvwxz'[i % 5]}{i // 10}o {rng.choice('BDFGHKLMNPRTVWZ')}{rng.choice('aeiou')}{rng.choice('bdgklmnprt')}{rng.choice('aeiou')}ston") for i in range(fillers)]
+    names_ += [(1000, "CUST_1000", "Velomir Kingston"), (1001, "CUST_1001", "Velomar Kinyston"), (1002, "CUST_1002", "S. Marstonston"), (1003, "CUST_1003", "Samira Marstonston"), (1004, "CUST_1004", "Marst0nston & Sons"), (1005, "CUST_1005", "Alex Zimberston"), (1006, "CUST_1006", "Alejandra Zimberston"), (1007, "CUST_1007", "Drovenston Pvt Ltd"), (1008, "CUST_1008", "Drovenston Pvt. Ltd."), (1009, "CUST_1009", "Drovenstom Private Limited")]
+    df = spark.createDataFrame(names_, "row_id int, id string, name string")
+    got = {tuple(r) for r in names.linked_pairs(names.link(df, "row_id", F.col("id"), F.col("name"), {"_d": F.lit("2020-01-02"), "_p": F.lit("x")}, tile, hot), "row_id", 5).collect()}
+    edges = [(a[0], b[0]) for a, b in itertools.combinations(names_, 2) if namematch.same_name(a[2], b[2])]
+    at = clusters(edges, [i for i, _, _ in names_])
+    want = {(a[0], b[0]) for a, b in itertools.combinations(names_, 2) if at[a[0]] == at[b[0]]}
+    assert got == want and {(1000, 1001), (1002, 1003), (1005, 1006), (1007, 1008), (1007, 1009)} <= got
+
+
+def test_long_names_are_compared_word_by_word():
+    long = " ".join(f"Wordington{chr(97 + i)}" for i in range(20))
+    assert namematch.same_name(long, long.replace("Wordingtonc", "Wordimgtonc")) and not namematch.same_name(long, "Other " * 20) and namematch.same_name("x" * 50_000 + " Lee", "x" * 50_000 + " Lee")
+
+
+def test_membership_names_one_representative(spark):
+    df = spark.createDataFrame([(5, "A1", "Nora Velling"), (3, "A2", "Nora Velling"), (9, "A3", "Nora Vellinng"), (4, "A4", "Somebody Else")], "row_id int, id string, name string")
+    got = names.membership(names.link(df, "row_id", F.col("id"), F.col("name"), {"_p": F.lit("x")}), "row_id")
+    assert {tuple(r) for r in got.collect()} == {(3, 3), (5, 3), (9, 3)}
+    assert names.membership(names.link(df.limit(0), "row_id", F.col("id"), F.col("name"), {"_p": F.lit("x")}), "row_id").count() == 0
+
+
 def test_model_pairs_and_components(spark):
     sp = spark.createDataFrame([(1, "Jorvik 350"), (2, "350 jorvik"), (3, "jorvik 250"), (4, "JORVIK  350"), (5, None), (6, ""), (7, "jrovik 350")], "spelling_id int, car_name string")
     assert {tuple(r) for r in names.model_pairs(sp, "spelling_id", "car_name").collect()} == {(1, 2), (1, 4), (2, 4), (1, 7), (2, 7), (4, 7)}
