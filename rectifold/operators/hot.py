@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 4096
 SALTS = 64
+BROADCAST_ROWS = 20_000  # rows a side may have to be broadcast
+BROADCAST_CHARS = 8_000_000  # and the text they may hold
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int, total: int | None = None) -> DataFrame:
@@ -36,3 +38,20 @@ def first_of_groups(keyed: DataFrame, keys: list[str], row_id: str, min_rows: in
     firsts = salted.groupBy(*[F.col(k).alias(h) for k, h in zip(own, other, strict=True)]).agg(F.min("_m").alias("_first"))
     heavy = heavy.join(F.broadcast(firsts), same).select("_id", "_first")
     return cold.unionByName(heavy).select(F.col("_id").alias(row_id), F.col("_first").alias("first"))
+
+
+def attach(df: DataFrame, side: DataFrame, keys: dict[str, str], null_safe: bool = False) -> DataFrame:
+    """df with the columns of `side`, which has one row per key; keys: column of df -> column of side. Rows without a match keep nulls.
+
+    A side within BROADCAST_ROWS and BROADCAST_CHARS, both counted, is broadcast. A larger one is repeated under SALTS salts and the rows of df are salted by
+    all their key-free content, so a key that holds a third of all rows is spread over as many tasks.
+    """
+    same = [F.col(a).eqNullSafe(F.col(b)) if null_safe else F.col(a) == F.col(b) for a, b in keys.items()]
+    texts = [F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("bigint") for c, t in side.dtypes if t == "string"]
+    size = side.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(texts, F.lit(0).cast("bigint"))), F.lit(0)).alias("chars")).first()
+    if size["n"] <= BROADCAST_ROWS and size["chars"] <= BROADCAST_CHARS:
+        return df.join(F.broadcast(side), same, "left").drop(*keys.values())
+    free = [c for c, t in df.dtypes if c not in keys and not t.startswith("map")]
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in free]), F.lit(SALTS)).cast("int") if free else F.lit(0))
+    spread = side.withColumn("__side", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1 if free else 0))))
+    return salted.join(spread, [F.col("__salt") == F.col("__side"), *same], "left").drop("__salt", "__side", *keys.values())

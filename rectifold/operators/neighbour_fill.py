@@ -1,6 +1,7 @@
 """Fills missing cells from the same entity's neighbours in time, then from the same group, and marks what was filled and how.
 
-One shuffle by (entity, segment). A segment is the whole entity, or one day of it where the entity is hot; then the
+The cells are read once into a narrow table; means and most frequent values of groups and the filling itself come from it. Filling is one
+shuffle by (entity, segment). A segment is the whole entity, or one day of it where the entity is hot; then the
 observations beside a day come from a second level over one row per hot entity and day. Forward and backward looks are
 running windows in either order, so no frame is evaluated again per row.
 """
@@ -12,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hot import hot_keys
+from ..session import written
+from .hot import attach, hot_keys
 
 DAY = 86_400.0
 
@@ -51,7 +53,8 @@ def fill(
         "_id", F.when(known, F.xxhash64(F.lit(17), *keys)).otherwise(F.xxhash64(F.lit(3), "_id")).alias("_e1"), F.when(known, F.xxhash64(F.lit(91), *keys)).otherwise(F.xxhash64(F.lit(5), "_id")).alias("_e2"), "_t", "_g",
         *[F.when(~F.col(f"_m_{c.name}"), F.col(f"_r_{c.name}")).alias(f"_v_{c.name}") for c in columns], *[f"_m_{c.name}" for c in columns],
     )
-    hot = hot_keys(base.select("_e1", "_e2"), ["_e1", "_e2"], hot_rows, df.count()).select(F.col("_e1").alias("_h1"), F.col("_e2").alias("_h2"))
+    base = written(base)
+    hot = hot_keys(base.select("_e1", "_e2"), ["_e1", "_e2"], hot_rows).select(F.col("_e1").alias("_h1"), F.col("_e2").alias("_h2"))
     tagged = base.join(F.broadcast(hot), (F.col("_e1") == F.col("_h1")) & (F.col("_e2") == F.col("_h2")), "left")  # at most hot.MAX_HOT_KEYS rows
     tagged = tagged.withColumn("_seg", F.when(F.col("_h1").isNotNull(), F.floor(F.coalesce("_t", F.lit(0.0)) / DAY)).otherwise(F.lit(-1)).cast("bigint"))
     tagged = tagged.withColumn("_hot", F.col("_h1").isNotNull()).drop("_h1", "_h2")
@@ -77,16 +80,17 @@ def fill(
         sums = [x for c in numeric for x in (F.sum(F.col(f"_v_{c.name}").cast("decimal(18,2)")).alias(f"_s_{c.name}"), F.count(f"_v_{c.name}").alias(f"_c_{c.name}"))]
         stats = base.groupBy("_g").agg(*sums)
         mean = lambda s, n: F.round((s / F.nullif(n, F.lit(0))).cast("double"), 4)
+        stats = written(stats)  # a row per group
         per_group = stats.select(F.col("_g").alias("_gg"), *[mean(F.col(f"_s_{c.name}"), F.col(f"_c_{c.name}")).alias(f"_gv_{c.name}") for c in numeric])
         whole = stats.agg(*[mean(F.sum(f"_s_{c.name}"), F.sum(f"_c_{c.name}")).alias(f"_av_{c.name}") for c in numeric])
-        rows = rows.join(per_group, F.col("_g") == F.col("_gg"), "left").drop("_gg").crossJoin(F.broadcast(whole))  # one row
+        rows = attach(rows, per_group, {"_g": "_gg"}).crossJoin(F.broadcast(whole))  # one row
     for c in columns:
         if not c.numeric:
-            freq = base.groupBy("_g", F.col(f"_v_{c.name}").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_v").isNotNull())
+            freq = written(base.groupBy("_g", F.col(f"_v_{c.name}").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_v").isNotNull()))
             best = F.min_by("_v", F.struct(-F.col("_c"), F.col("_v")))
             per_group = freq.groupBy(F.col("_g").alias("_gg")).agg(best.alias(f"_gv_{c.name}"))
             whole = freq.groupBy("_v").agg(F.sum("_c").alias("_c")).agg(best.alias(f"_av_{c.name}"))
-            rows = rows.join(per_group, F.col("_g") == F.col("_gg"), "left").drop("_gg").crossJoin(F.broadcast(whole))  # one row
+            rows = attach(rows, per_group, {"_g": "_gg"}).crossJoin(F.broadcast(whole))  # one row
 
     out = [F.col("_id").alias(row_id)]
     for c in columns:

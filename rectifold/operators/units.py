@@ -1,8 +1,8 @@
 """Quantities in different units: what a value, a remark or its feed says about the unit, and conversion to the common one.
 
 The unit is a triple (currency or measure, scale, period). Each part comes from the first of value, remark and feed that
-says it; the triple names the unit. All is narrow projection; unit and feed tables are small fixed tables, joined by broadcast
-after a check of their size.
+says it; the triple names the unit. What a feed means comes from the segments of its history, where these point to a unit, else from
+its declaration. All is narrow projection; feeds and segments are attached by a broadcast after a check of their size, else by a salted join.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_UNITS = 10_000  # rows a unit or feed table may have to be broadcast
+from .hot import attach
+
+MAX_UNITS = 10_000  # rows the table of units may have to be read into a plan
 
 # How a value says its parts, as patterns over its lower-case text.
 SAYS_USD = r"(?:us\s*\$|\$|\busd\b|us dollars?|dollars?)"
@@ -99,6 +101,11 @@ def _unit_ids(units: DataFrame, field: str) -> tuple[dict[tuple, int], dict[int,
     return {p: i for i, p in parts.items()}, parts, {r["unit_id"]: r["factor"] for r in rows}
 
 
+def factors_of(units: DataFrame, field: str) -> dict[int, float]:
+    """Factor by unit id of one field."""
+    return _unit_ids(units, field)[2]
+
+
 def _case(key: Column, mapping: dict, kind: str) -> Column:
     """A literal lookup of a bounded dict."""
     if not mapping:
@@ -110,13 +117,13 @@ def _case(key: Column, mapping: dict, kind: str) -> Column:
 def with_unit(df: DataFrame, field: str, units: DataFrame, feeds: DataFrame, feed: str = "feed", remarks: str | None = None, out: str = "unit_id", history: DataFrame | None = None, load: str = "load_no") -> DataFrame:
     """df with the unit id of each value of `field` that holds a digit, null for other values.
 
-    What a feed means comes from the segments of its history (feed, first_load, last_load, unit_id) that changepoint.unit_segments found,
-    checked against the declared units, which prevail. A feed that neither knows says nothing; then the common unit (the one of factor 1) is assumed. A part that the named triple
-    has no unit for gives way: a period first, then a currency's scale. Rows, order and other columns stay.
+    What a feed means in a load comes from the segment of its history (feed, first_load, last_load, unit_id) that changepoint.unit_segments found there;
+    a load without one, or whose segment points to no unit, has the declared unit of its feed (of several the smallest id). A feed that neither knows says
+    nothing; then the common unit (the one of factor 1) is assumed. A part that the named triple has no unit for gives way: a period first, then a
+    currency's scale. Rows and other columns stay.
     """
     by_parts, parts, factors = _unit_ids(units, field)
     common = min((i for i, f in factors.items() if f == 1.0), default=None)
-    feed_unit = {r["feed"]: r["unit_id"] for r in _small(feeds, "the feed table") if r["field_name"] == field and r["feed"] is not None}
     c = F.col(field)
     base = parts.get(common, (None, None, None))
     distance = "km" in {p[0] for p in parts.values()}
@@ -129,13 +136,16 @@ def with_unit(df: DataFrame, field: str, units: DataFrame, feeds: DataFrame, fee
     nothing = F.lit(None).cast("string")
     remark = nothing if remarks is None else F.when(F.col(remarks).isNotNull(), remark_distance(F.col(remarks)) if distance else remark_price(F.col(remarks)))
     df = df.withColumn("__unit_remark", remark)
-    meant = _case(F.col(feed), feed_unit, "int")
+    declared = feeds.filter((F.col("field_name") == field) & F.col("feed").isNotNull()).groupBy(F.col("feed").alias("__unit_feed")).agg(F.min("unit_id").cast("int").alias("__unit_declared"))
+    df = attach(df, declared, {feed: "__unit_feed"})
+    meant = F.col("__unit_declared")
     if history is not None:
-        found = [r for r in _small(history, "the segments") if r["unit_id"] in parts]
-        spans = F.lit(None).cast("int")
-        for r in found:
-            spans = F.when((F.col(feed) == r["feed"]) & F.col(load).between(r["first_load"], r["last_load"]), F.lit(r["unit_id"])).otherwise(spans)
-        meant = F.coalesce(meant, spans)
+        # one row per feed and load, so that no plan grows with the segments
+        loads = df.select(F.col(feed).alias("__unit_feed"), F.col(load).alias("__unit_load")).distinct()
+        spans = history.filter(F.col("unit_id").isin(*parts) if parts else F.lit(False)).select(F.col("feed").alias("__unit_of"), "first_load", "last_load", F.col("unit_id").cast("int").alias("__unit_span"))
+        spans = loads.join(spans, (F.col("__unit_feed") == F.col("__unit_of")) & F.col("__unit_load").between(F.col("first_load"), F.col("last_load")))
+        df = attach(df, spans.groupBy("__unit_feed", "__unit_load").agg(F.min("__unit_span").alias("__unit_span")), {feed: "__unit_feed", load: "__unit_load"})
+        meant = F.coalesce("__unit_span", meant)
     df = df.withColumn("__unit_meant", meant)
     df = df.withColumns({f"__unit_f_{i}": _case(F.col("__unit_meant"), {u: p[i] for u, p in parts.items()}, "string") for i in range(3)})
     rem = F.col("__unit_remark")

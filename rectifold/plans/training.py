@@ -23,6 +23,18 @@ def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded["customer_churn"].select("line_id", "customer_id", F.col("age").try_cast("int").alias("age"), F.col("join_date").try_cast("date").cast("string").alias("join_date"), "churn")
 
 
+def p2_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first broken field of each line of sound structure that does not load."""
+    schemas = {"customer_churn": line_gate.CUSTOMER_CHURN, "car_data": line_gate.CAR_DATA}
+    return line_gate.set_apart(table(spark, sf_dir, "raw_lines"), schemas).filter("reason = 'invalid_value'").select("line_id", "bad_field")
+
+
+def p2_loaded_cars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of the car lines that load."""
+    loaded, _ = line_gate.split_lines(table(spark, sf_dir, "raw_lines"), {"car_data": line_gate.CAR_DATA})
+    return loaded["car_data"].select("line_id", *[f.name for f in line_gate.CAR_DATA])
+
+
 PROFILED = {"clean_benchmark_dataset": ["credit_score", "tenure_months"], "car_data": ["kms_driven"]}
 
 
@@ -46,6 +58,24 @@ def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("table_name", "column_name", "n_cells", "n_missing", "n_distinct", "n_plain", "n_pattern", "n_top")
 
 
+RANGED = {
+    "customer_churn": ["row_id", "age", "salary", "churn", "recorded_at", "loaded_at"],
+    "car_data": ["row_id", "year", "selling_price", "present_price", "kms_driven", "owner", "loaded_at"],
+    "clean_benchmark_dataset": ["row_id", "age", "salary", "credit_score", "tenure_months", "churn", "loaded_at"],
+}
+
+
+def p3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range of the plain numbers of each column that has any; of times the seconds since 1970."""
+    out = []
+    for t, cols in RANGED.items():
+        rows = table(spark, sf_dir, t)
+        seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp")).cast("string")
+        rows = rows.select(*[seconds(c).alias(c) if c.endswith("_at") else F.col(c).cast("string").alias(c) for c in cols])
+        out.append(load_profile.column_profile(load_profile.value_counts(rows, cols, t, None)))
+    return reduce(DataFrame.unionByName, out).filter("n_plain > 0").select("table_name", "column_name", "min_number", "max_number")
+
+
 def p3_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (load_profile.value_counts(table(spark, sf_dir, t), cols, t) for t, cols in PROFILED.items())
     return load_profile.load_drift(a.unionByName(b))
@@ -77,16 +107,20 @@ def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_history(spark: SparkSession, sf_dir: str, t: str, field: str) -> DataFrame | None:
-    """(feed, first_load, last_load, level, unit_id): segments of the feeds' bare numbers, with the unit their level points to; None without any number."""
+    """(feed, first_load, last_load, level, unit_id, agrees): segments of the feeds' bare numbers, with the unit their level points to; None without any number.
+
+    The common level is the median one of the feeds that are declared to use the common unit.
+    """
     unit_t, feed_t = table(spark, sf_dir, "unit_factors"), table(spark, sf_dir, "feed_units")
     bare = F.when(F.col(field).rlike(r"^[0-9]+(\.[0-9]+)?$"), F.col(field).try_cast("double"))
-    hist = checkpoint(changepoint.history(table(spark, sf_dir, t), "feed", "load_no", bare))  # a row per feed and load
-    factors = {r["unit_id"]: r["factor"] for r in unit_t.filter(F.col("field_name") == field).collect()}
-    common = [r["feed"] for r in feed_t.filter(F.col("field_name") == field).collect() if factors.get(r["unit_id"]) == 1.0]
-    level = hist.filter(F.col("source").isin(*common)).agg(F.expr("percentile(level, 0.5)")).first()[0] if common else None
+    hist = checkpoint(changepoint.without_shared_shifts(changepoint.history(table(spark, sf_dir, t), "feed", "load_no", bare)))  # a row per feed and load
+    factors = {u: f for u, f in units.factors_of(unit_t, field).items() if f}
+    declared = feed_t.filter((F.col("field_name") == field) & F.col("feed").isNotNull()).groupBy(F.col("feed").alias("source")).agg(F.min("unit_id").alias("unit_id"))
+    plain = declared.filter(F.col("unit_id").isin(*[u for u, f in factors.items() if f == 1.0]))
+    level = hist.join(plain, "source", "left_semi").agg(F.expr("percentile(level, 0.5)")).first()[0]
     if level is None:
         return None
-    return checkpoint(changepoint.unit_segments(hist, factors, level).withColumnRenamed("source", "feed"))
+    return checkpoint(changepoint.unit_segments(hist, factors, level, declared=declared).withColumnRenamed("source", "feed"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,12 +134,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [(f, unit_history(spark, sf_dir, t, f)) for t, f in (("customer_churn", "salary"), ("car_data", "kms_driven"), ("car_data", "selling_price"))]
-    frames = [h.select(F.lit(f).alias("field_name"), "feed", "first_load", "last_load", "level", "unit_id") for f, h in parts if h is not None]
+    frames = [h.select(F.lit(f).alias("field_name"), "feed", "first_load", "last_load", "level", "unit_id", "agrees") for f, h in parts if h is not None]
     return reduce(DataFrame.unionByName, frames)
 
 
+def p7_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the three fields in its common unit, with the unit it was recorded in."""
+    unit_t, feed_t = table(spark, sf_dir, "unit_factors"), table(spark, sf_dir, "feed_units")
+    out = []
+    for t, field, remarks in (("customer_churn", "salary", None), ("car_data", "kms_driven", "remarks"), ("car_data", "selling_price", "remarks")):
+        rows = units.with_unit(table(spark, sf_dir, t), field, unit_t, feed_t, remarks=remarks, history=unit_history(spark, sf_dir, t, field))
+        rows = units.convert(rows, field, unit_t, out="value")
+        out.append(rows.filter(F.col("unit_id").isNotNull()).select(F.lit(t).alias("table_name"), F.lit(field).alias("column_name"), "row_id", "unit_id", F.round("value", 4).alias("value")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_loaded, p3_found, p3_profile, p3_drift, p6_found, p6_filled, p7_found, p7_segments)}
+    return {f.__name__: f for f in (p2_found, p2_fields, p2_loaded, p2_loaded_cars, p3_found, p3_profile, p3_ranges, p3_drift, p6_found, p6_filled, p7_found, p7_segments, p7_converted)}
 
 
 # ---- SQL --------------------------------------------------------------------------------------------------------------------
@@ -145,6 +190,48 @@ def p2_loaded_sql() -> str:
     return f"SELECT line_id, {bare(0)} AS customer_id, CAST(nullif({bare(2)}, '') AS INT) AS age, nullif({bare(4)}, '') AS join_date, {bare(7)} AS churn FROM raw_lines WHERE feed_table = 'customer_churn' AND line_id NOT IN (SELECT line_id FROM ({p2_sql()}))"
 
 
+def p2_fields_sql() -> str:
+    """The first field of a line of sound structure that its own pattern does not take, field by field."""
+    text = "regexp_replace(coalesce(raw_line, ''), '\\r$', '')"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    at = lambda k: f"regexp_extract(line, {quote('^' + (f'(?:{_ANY},){{{k}}}' if k else '') + '(' + _ANY + ')')}, 1)"
+    name_bad = f"(NOT regexp_matches({at(0)}, '\\p{{L}}') OR regexp_matches({at(0)}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{FFFD}}]'))"
+    cases = []
+    for t, schema in (("customer_churn", line_gate.CUSTOMER_CHURN), ("car_data", line_gate.CAR_DATA)):
+        tests = [(f"NOT regexp_full_match({at(k)}, {quote(_plain_pattern(f))}, 's')" if not f.free else name_bad if f.must else "false", f.name) for k, f in enumerate(schema)]
+        cases.append(f"WHEN feed_table = '{t}' THEN CASE " + " ".join(f"WHEN {cond} THEN '{name}'" for cond, name in tests) + " END")
+    return f"SELECT line_id, CASE {' '.join(cases)} END AS bad_field FROM (SELECT line_id, feed_table, {text} AS line FROM raw_lines) WHERE line_id IN (SELECT line_id FROM ({p2_sql()}) WHERE reason = 'invalid_value')"
+
+
+def p2_loaded_cars_sql() -> str:
+    text = "regexp_replace(coalesce(raw_line, ''), '\\r$', '')"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    raw = lambda k: f"trim(regexp_extract({text}, {quote('^' + (f'(?:{_ANY},){{{k}}}' if k else '') + '(' + _ANY + ')')}, 1), ' \t')"
+    bare = lambda k: f"nullif(CASE WHEN {raw(k)} LIKE '\"%' THEN trim(replace(substr({raw(k)}, 2, length({raw(k)}) - 2), '\"\"', '\"'), ' \t') ELSE {raw(k)} END, '')"
+    fields = ", ".join(f"{bare(k)} AS {f.name}" for k, f in enumerate(line_gate.CAR_DATA))
+    return f"SELECT line_id, {fields} FROM raw_lines WHERE feed_table = 'car_data' AND line_id NOT IN (SELECT line_id FROM ({p2_sql()}))"
+
+
+def ranges_sql() -> str:
+    num = "'^[+-]?[0-9]+(\\.[0-9]+)?$'"
+    text = lambda c: f"CAST(CAST(floor(epoch({c})) AS BIGINT) AS VARCHAR)" if c.endswith("_at") else f"CAST({c} AS VARCHAR)"
+    cells = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {text(c)} AS v FROM {t}" for t, cols in RANGED.items() for c in cols)
+    return f"SELECT table_name, column_name, min(CAST(v AS DOUBLE)) AS min_number, max(CAST(v AS DOUBLE)) AS max_number FROM ({cells}) WHERE regexp_matches(v, {num}) GROUP BY ALL"
+
+
+def drift_sql(bins: int = 10) -> str:
+    """Shares of each load in the decile bins of all loads against those of the load before."""
+    num = "'^[+-]?[0-9]+(\\.[0-9]+)?$'"
+    parts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, load_no, CAST({c} AS DOUBLE) AS x FROM {t} WHERE regexp_matches({c}, {num})" for t, cols in PROFILED.items() for c in cols)
+    cuts = ", ".join(f"quantile_cont(x, {i / bins}) AS d{i}" for i in range(1, bins))
+    above = " + ".join(f"(d{i} < x)::INT" for i in range(1, bins))
+    return f"""WITH v AS ({parts}), c AS (SELECT table_name, column_name, {cuts} FROM v GROUP BY ALL), b AS (SELECT table_name, column_name, load_no, {above} AS bin, count(*) AS n FROM v JOIN c USING (table_name, column_name) GROUP BY ALL),
+ g AS (SELECT table_name, column_name, load_no, sum(n) AS total FROM b GROUP BY ALL), t AS (SELECT *, lag(load_no) OVER (PARTITION BY table_name, column_name ORDER BY load_no) AS prev FROM g), bins AS (SELECT unnest(range({bins})) AS bin),
+ s AS (SELECT t.table_name, t.column_name, t.load_no, t.prev, bins.bin, t.total, greatest(coalesce(b.n, 0), 0.5) / t.total AS share FROM t CROSS JOIN bins LEFT JOIN b ON b.table_name = t.table_name AND b.column_name = t.column_name AND b.load_no = t.load_no AND b.bin = bins.bin)
+ SELECT y.table_name, y.column_name, y.load_no, round(sum((y.share - z.share) * ln(y.share / z.share)), 6) AS psi, round(sum(y.total * (y.share - z.share) * (y.share - z.share) / z.share), 4) AS chi_square
+ FROM s y JOIN s z ON y.table_name = z.table_name AND y.column_name = z.column_name AND y.prev = z.load_no AND y.bin = z.bin GROUP BY y.table_name, y.column_name, y.load_no"""
+
+
 def p3_sql() -> str:
     num = "'^[+-]?[0-9]+(\\.[0-9]+)?$'"
     parts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, load_no, {missing_sql(c)} AS gone, coalesce(regexp_matches({c}, {num}), false) AS plain, CASE WHEN regexp_matches({c}, {num}) THEN CAST({c} AS DOUBLE) END AS x FROM {t}" for t, cols in PROFILED.items() for c in cols)
@@ -189,4 +276,4 @@ def p7_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": p2_sql(), "p2_loaded": p2_loaded_sql(), "p3_found": p3_sql(), "p3_profile": profile_sql(), "p6_found": p6_sql(), "p7_found": p7_sql()}
+    return {"p2_found": p2_sql(), "p2_fields": p2_fields_sql(), "p2_loaded": p2_loaded_sql(), "p2_loaded_cars": p2_loaded_cars_sql(), "p3_found": p3_sql(), "p3_ranges": ranges_sql(), "p3_drift": drift_sql(), "p3_profile": profile_sql(), "p6_found": p6_sql(), "p7_found": p7_sql()}

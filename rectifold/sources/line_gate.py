@@ -105,7 +105,6 @@ def _verdict(text: Column, schema: tuple[LineField, ...]) -> tuple[Column, Colum
     valid = text.rlike(whole_line(schema))
     for k, f in checks:
         valid = valid & content(k, f)
-    reason = F.when(valid, F.lit(None).cast("string")).when(~text.rlike(WELL_QUOTED), F.lit("broken_quoting")).when(~text.rlike(count), F.lit("wrong_column_count")).otherwise(F.lit("invalid_value"))
     bad = F.lit(None).cast("string")
     for k in reversed(range(n)):
         ok = text.rlike(prefix_patterns(schema)[k])
@@ -113,6 +112,8 @@ def _verdict(text: Column, schema: tuple[LineField, ...]) -> tuple[Column, Colum
             if j == k:
                 ok = ok & content(k, f)
         bad = F.when(~ok, F.lit(schema[k].name)).otherwise(bad)
+    # a line of sound structure fails by its first broken field, which the prefix patterns find
+    reason = F.when(valid, F.lit(None).cast("string")).when(~text.rlike(WELL_QUOTED), F.lit("broken_quoting")).when(~text.rlike(count), F.lit("wrong_column_count")).when(bad.isNotNull(), F.lit("invalid_value"))
     return reason, bad, values
 
 

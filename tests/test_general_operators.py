@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rectifold.functions.text import is_missing, letters_and_digits, shape, title
-from rectifold.operators import changepoint, load_profile, neighbour_fill, percentiles, units
+from rectifold.operators import changepoint, hot, load_profile, neighbour_fill, percentiles, units
 
 UNITS = [(1, "salary", "inr_per_year", 1.0), (2, "salary", "inr_per_month", 12.0), (3, "salary", "thousand_inr_per_year", 1000.0), (4, "salary", "lakh_inr_per_year", 1e5), (5, "salary", "usd_per_year", 82.5),
          (11, "kms_driven", "kilometre", 1.0), (12, "kms_driven", "mile", 1.609344), (13, "kms_driven", "thousand_kilometre", 1000.0),
@@ -70,6 +70,31 @@ def test_a_feed_that_changes_its_unit_is_segmented(spark):
     assert got == [(1, 4, 1), (5, 8, 2)]
 
 
+def test_segments_decide_what_a_feed_means(spark):
+    """A feed that changes its unit is reversed by its segments; without them the declaration would stand for all its loads."""
+    rows = [(f"{100 * f + 10 * load + i}", feed, load, str(round(700_000 * (1.02 ** (i % 5)) * (1.6 if load == 3 else 1.0) / (1e5 if feed == "b" and load > 4 else 1), 4))) for f, feed in enumerate("abcd") for load in range(1, 9) for i in range(10)]
+    rows += [("n1", "b", None, "5"), ("n2", None, 7, "5"), ("n3", "new", 7, "5")]
+    df = spark.createDataFrame(rows, "row_id string, feed string, load_no int, salary string").withColumn("unit_id", F.lit("clash"))
+    u = spark.createDataFrame(UNITS, "unit_id int, field_name string, unit_name string, factor double")
+    declared = spark.createDataFrame([(f, "salary", 1) for f in "abcd"], "feed string, field_name string, unit_id int")
+    hist = changepoint.without_shared_shifts(changepoint.history(df, "feed", "load_no", F.col("salary").cast("double")))
+    found = changepoint.unit_segments(hist, {x[0]: x[3] for x in UNITS[:5]}, math.log10(710_000), declared=declared.select(F.col("feed").alias("source"), "unit_id")).withColumnRenamed("source", "feed")
+    assert sorted((r["feed"], r["first_load"], r["unit_id"], r["agrees"]) for r in found.collect() if r["feed"] in "abcd") == [("a", 1, 1, True), ("b", 1, 1, True), ("b", 5, 4, False), ("c", 1, 1, True), ("d", 1, 1, True)]
+    without = {r["row_id"]: r["unit_id"] for r in units.with_unit(df, "salary", u, declared).collect()}
+    got = {r["row_id"]: r["unit_id"] for r in units.with_unit(df, "salary", u, declared, history=found).collect()}
+    changed = {k for k in got if got[k] != without[k]}
+    assert changed == {r[0] for r in rows if r[1] == "b" and (r[2] or 0) > 4} | {"n3"} and {got[k] for k in changed} == {4} and set(without.values()) == {1}
+    assert units.with_unit(df.limit(0), "salary", u, declared, history=found).count() == 0
+
+
+def test_attaching_alike_for_small_and_large_sides(spark, monkeypatch):
+    df = spark.createDataFrame([("a", i) for i in range(50)] + [(None, 1), ("z", 2)], "k string, x int")
+    side = spark.createDataFrame([("a", 7, "p"), ("b", 8, "q")], "_k string, y int, t string")
+    small = sorted(map(str, hot.attach(df, side, {"k": "_k"}).collect()))
+    monkeypatch.setattr(hot, "BROADCAST_ROWS", 1)
+    assert sorted(map(str, hot.attach(df, side, {"k": "_k"}).collect())) == small and len(small) == 52 and hot.attach(df, side.limit(0), {"k": "_k"}).filter("y is null").count() == 52
+
+
 def test_exact_percentiles_match_interpolation(spark):
     rng = np.random.default_rng(2)
     data = {k: rng.integers(0, 50, n).tolist() if k != "c" else rng.normal(0, 1, n).tolist() for k, n in (("a", 1), ("b", 999), ("c", 5000))}
