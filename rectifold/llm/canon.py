@@ -1,7 +1,8 @@
 """Maps freely typed values to the entries of a reference list, and reports what has no match.
 
-The reference list is small by contract (checked); its symmetric-delete index is broadcast once and every task looks values
-up by itself: no shuffle at all, each distinct value of a batch once.
+A reference list of up to MAX_ENTRIES entries, counted, is broadcast once with its symmetric-delete index, and every task looks values up by
+itself: no shuffle at all, each distinct value of a batch once. A longer list is cut into parts of that size; each distinct value is looked up in every
+part and the best of its answers counts, so the result is the same.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing
-from ..session import received, share
+from ..operators.hot import attach
+from ..session import received, share, written
 from .similar import plain, sounded, typing_distance
 
-MAX_ENTRIES = 10_000  # reference entries that may be broadcast
+MAX_ENTRIES = 10_000  # reference entries that may be broadcast at a time
 MEMO = 50_000  # distinct values a task remembers
 
 # Words beside an entry's name that change nothing.
@@ -37,12 +39,32 @@ def _deletes(s: str, d: int) -> set[str]:
     return out
 
 
+CHEAPEST = 0.6  # the least an edit costs in typing_distance
+DEAREST_PAIR = 0.8  # the least it costs to rid a text of a letter altogether
 PREFIX = 7  # letters at the beginning that are indexed: two texts within d edits share a form of their beginnings with up to d letters deleted
 
 
+def _most(n: int) -> float:
+    """The largest typing distance at which a text means a name, n being the shorter length of both."""
+    return 0.85 if n <= 3 else 1.0 if n <= 5 else 2.0 if n <= 11 else 2.6 if n <= 14 else 3.0
+
+
 def _bound(n: int) -> int:
-    """How many edits a text of n characters may carry."""
-    return 0 if n <= 2 else 1 if n <= 4 else 2 if n <= 14 else 3
+    """How many edits fit into the largest distance of a text of n characters, none costing less than CHEAPEST: so many letters may have to go on either side."""
+    return int(_most(n) / CHEAPEST + 1e-9)
+
+
+def _letters(s: str) -> int:
+    """The letters of a text as a set of bits."""
+    bits = 0
+    for ch in s:
+        bits |= 1 << (ord(ch) & 63)
+    return bits
+
+
+def _least(a: int, b: int) -> float:
+    """What two texts with these letters cost at least: a letter the other text lacks must be dropped or replaced, a replacement removes one of each side."""
+    return DEAREST_PAIR * max((a & ~b).bit_count(), (b & ~a).bit_count())
 
 
 class Dictionary:
@@ -72,70 +94,89 @@ class Dictionary:
                 for x in _deletes(form[:PREFIX], _bound(len(joined))):
                     self.deletes.setdefault(x, []).append(i)
         self.lengths = {len(joined) for joined, _, _ in self.names}
+        self.heard = [(sounded(joined), _letters(joined), _letters(sounded(joined))) for joined, _, _ in self.names]
+        self.heard_lengths = {len(h) for h, _, _ in self.heard}
         self.memo: dict[str, int] = {}
 
     def find(self, value: str) -> int:
         """The id of the entry the value means, 0 for none. Ties: the smaller distance, the more frequent entry, the smaller id."""
+        return chosen([self.ranked(value)])
+
+    def ranked(self, value: str) -> tuple[float, float, float, int]:
+        """(step, order within it, less the frequency, id) of the best answer; of cut-short values (step 3) the order is the number of entries that fit."""
         hit = self.memo.get(value)
         if hit is None:
-            hit = self._find(value)
+            hit = self._ranked(value)
             if len(self.memo) < MEMO:
                 self.memo[value] = hit
         return hit
 
-    def _find(self, value: str) -> int:
+    def _ranked(self, value: str) -> tuple[float, float, float, int]:
         words = plain(value).split()
-        if not words or len(words) > 12:
-            return 0
+        if not words:
+            return NOTHING
         bare = [w for w in words if w not in self.beside] or words
-        best: tuple | None = None
-        for ws in [words] + ([bare] if bare != words else []):
-            for form in (" ".join(ws), "".join(ws), " ".join(sorted(ws)), "".join(w for w in ws if w not in JOINERS)):
-                if form in self.exact:
-                    return self.exact[form]
-        short = value.rstrip().endswith(".")
-        for ws in [words] + ([bare] if bare != words else []):
-            for joined in dict.fromkeys(("".join(ws), "".join(sorted(ws)))):
-                got = self._near(joined)
-                if got and (best is None or got < best):
-                    best = got
-        if best:
-            return best[-1]
+        both = [words] + ([bare] if bare != words else [])
+        forms = [f for ws in both for f in (" ".join(ws), "".join(ws), " ".join(sorted(ws)), "".join(w for w in ws if w not in JOINERS))]
+        for i, form in enumerate(forms):
+            if form in self.exact:
+                return 0, i, 0, self.exact[form]
+        near = [got for ws in both for joined in dict.fromkeys(("".join(ws), "".join(sorted(ws)))) if (got := self._near(joined))]
+        if near:
+            return 1, *min(near)
         if len(words) == 1:
-            for w in self.beside:
+            for i, w in enumerate(sorted(self.beside)):
                 for cut in (words[0].removesuffix(w), words[0].removeprefix(w)):
                     if len(w) >= 4 and cut in self.exact and cut != words[0]:
-                        return self.exact[cut]
-        return self._shortened(bare, short)
-
-    def _near(self, joined: str) -> tuple | None:
-        bound = _bound(len(joined))
-        if not any(len(joined) + k in self.lengths for k in range(-bound, bound + 1)):
-            return None  # no name within the bound has such a length
-        forms = {joined, sounded(joined)}
-        seen = {i for f in forms for x in _deletes(f[:PREFIX], bound) for i in self.deletes.get(x, ())} if len(joined) <= 40 else set()
+                        return 2, i, 0, self.exact[cut]
+        return self._shortened(bare, value.rstrip().endswith("."))
+
+    def near_ids(self, joined: str) -> set[int]:
+        """Names that share a form of their beginning, as written or as it sounds, with up to the bound of letters deleted: all that can lie within the largest distance."""
+        bound, heard = _bound(len(joined)), sounded(joined)
+        span = range(-bound, bound + 1)
+        if not any(len(joined) + k in self.lengths or len(heard) + k in self.heard_lengths for k in span):
+            return set()  # no name within the bound has such a length
+        return {i for f in {joined, heard} for x in _deletes(f[:PREFIX], bound) for i in self.deletes.get(x, ())}
+
+    def _near(self, joined: str, ids: set[int] | None = None) -> tuple | None:
         best = None
-        for i in seen:
-            name, ref, alias = self.names[i]
+        heard, own, own_heard = sounded(joined), _letters(joined), _letters(sounded(joined))
+        for i in self.near_ids(joined) if ids is None else ids:
+            name, ref, _ = self.names[i]
+            name_heard, letters, letters_heard = self.heard[i]
             n = min(len(name), len(joined))
-            most = 0.85 if n <= 3 else 1.0 if n <= 5 else 2.0 if n <= 11 else 2.6 if n <= 14 else 3.0
-            d = min(typing_distance(joined, name, most + 0.5), 0.3 + typing_distance(sounded(joined), sounded(name), most + 0.5))
+            most = _most(n)
             if n <= 4 and joined[0] != name[0]:
                 continue
-            if d <= most:
+            d = typing_distance(joined, name, most) if _least(own, letters) <= most + 1e-9 else most + 1
+            if _least(own_heard, letters_heard) <= most - 0.3 + 1e-9:
+                d = min(d, 0.3 + typing_distance(heard, name_heard, most - 0.3))
+            if d <= most + 1e-9:
                 key = (round(d, 3), -self.freq.get(ref, 0), ref)
                 best = key if best is None or key < best else best
         return best
 
-    def _shortened(self, words: list[str], dotted: bool) -> int:
+    def _shortened(self, words: list[str], dotted: bool) -> tuple[float, float, float, int]:
         """Entries whose words begin with the given ones (the last cut short): only where exactly one entry fits."""
-        fits = []
         if len("".join(words)) < 3 or (len(words) == 1 and len(words[0]) < (3 if dotted else 4)):
-            return 0
+            return NOTHING
+        fits = []
         for ref, own in self.words.items():
             if len(words) <= len(own) and all(o == w or (len(w) >= 3 and len(words) == len(own) and o.startswith(w)) for o, w in zip(own, words[:-1], strict=False)) and own[len(words) - 1].startswith(words[-1]) and (dotted or len(words) > 1 or len(words[0]) >= 5):
                 fits.append(ref)
-        return fits[0] if len(fits) == 1 else 0
+        return (3, len(fits), 0, min(fits)) if fits else NOTHING
+
+
+NOTHING = (9, 0, 0, 0)
+
+
+def chosen(answers: list[tuple[float, float, float, int]]) -> int:
+    """The id that the answers of all parts of a list agree on: the best of them, of cut-short values only a single fit."""
+    best = min(answers, default=NOTHING)
+    if best[0] == 3 and sum(a[1] for a in answers if a[0] == 3) != 1:
+        return 0
+    return int(best[3])
 
 
 def dictionary(ref: DataFrame, field: str, used: DataFrame | None = None, column: str | None = None) -> Dictionary:
@@ -153,7 +194,7 @@ def dictionary(ref: DataFrame, field: str, used: DataFrame | None = None, column
 
 
 def map_values(df: DataFrame, column: str, book: Dictionary, out: str = "ref_id") -> DataFrame:
-    """df with the entry each value means: 0 for none, null for a missing value. Very long values (over 12 words) mean none. Exact uses of a name are resolved too."""
+    """df with the entry each value means: 0 for none, null for a missing value. Exact uses of a name are resolved too."""
     shared = share(df.sparkSession, book)
 
     @F.pandas_udf("int")
@@ -167,13 +208,50 @@ def map_values(df: DataFrame, column: str, book: Dictionary, out: str = "ref_id"
     return df.withColumn(out, F.when(~is_missing(F.col(column)), lookup(F.col(column))))
 
 
+def _ranking(shared):
+    @F.pandas_udf("array<double>")
+    def ranked(s: pd.Series) -> pd.Series:
+        own = received(shared)
+        return s.map(lambda v: [float(x) for x in own.ranked(v)])
+
+    return ranked
+
+
+def map_by_parts(df: DataFrame, column: str, ref: DataFrame, field: str, out: str = "ref_id") -> DataFrame:
+    """`map_values` for a reference list of any length: parts of MAX_ENTRIES entries in order of id, each looked up for every distinct value."""
+    spark = df.sparkSession
+    entries = ref.filter(F.col("field_name") == field).select("ref_id", "canonical", "aliases")
+    used = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_uses"))
+    values = written(used.filter(~is_missing(F.col("_v"))))
+    uses = entries.join(values, F.col("canonical") == F.col("_v"), "left").groupBy("ref_id").agg(F.min("canonical").alias("canonical"), F.min("aliases").alias("aliases"), F.coalesce(F.max("_uses"), F.lit(0)).alias("_uses"))
+    uses, last, found = written(uses), None, None
+    while rows := uses.filter(F.col("ref_id") > last if last is not None else F.lit(True)).orderBy("ref_id").limit(MAX_ENTRIES).collect():
+        last = rows[-1]["ref_id"]
+        part = Dictionary(field, [(r["ref_id"], r["canonical"] or "", r["aliases"]) for r in rows], {r["ref_id"]: r["_uses"] for r in rows})
+        part = values.select("_v", _ranking(share(spark, part))("_v").alias("_a"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return df.withColumn(out, F.when(~is_missing(F.col(column)), F.lit(0)))
+    fits = F.sum(F.when(F.col("_a")[0] == 3, F.col("_a")[1]).otherwise(0))
+    best = found.groupBy("_v").agg(F.min("_a").alias("_a"), fits.alias("_fits"))
+    means = best.select(F.col("_v").alias("_value"), F.when((F.col("_a")[0] == 3) & (F.col("_fits") != 1), 0).otherwise(F.col("_a")[3]).cast("int").alias(out))
+    return attach(df.drop(out), written(means), {column: "_value"})
+
+
 def mapped_values(df: DataFrame, column: str, ref: DataFrame, row_id: str = "row_id", field: str | None = None) -> DataFrame:
     """(field_name, row_id, ref_id) of each value that is neither missing nor an entry's exact name; ref_id 0 reports a value without match."""
-    book = dictionary(ref, field or column, df, column)
-    names = book_canonicals(ref, field or column)
-    typed = df.select(F.col(row_id), F.col(column).alias("_v")).filter(~is_missing(F.col("_v")) & ~F.col("_v").isin(*names))
-    return map_values(typed, "_v", book).select(F.lit(field or column).alias("field_name"), F.col(row_id), "ref_id")
+    field = field or column
+    rows = df.select(F.col(row_id), F.col(column).alias("_v"))
+    names = book_canonicals(ref, field)
+    if names is None:
+        exact = ref.filter(F.col("field_name") == field).select(F.col("canonical").alias("_c")).distinct().withColumn("_known", F.lit(True))
+        typed = attach(map_by_parts(rows, "_v", ref, field), exact, {"_v": "_c"}).filter(F.col("ref_id").isNotNull() & F.col("_known").isNull())
+    else:
+        typed = map_values(rows.filter(~is_missing(F.col("_v")) & ~F.col("_v").isin(*names)), "_v", dictionary(ref, field, df, column))
+    return typed.select(F.lit(field).alias("field_name"), F.col(row_id), "ref_id")
 
 
-def book_canonicals(ref: DataFrame, field: str) -> list[str]:
-    return [r["canonical"] for r in ref.filter(F.col("field_name") == field).select("canonical").limit(MAX_ENTRIES).collect()]
+def book_canonicals(ref: DataFrame, field: str) -> list[str] | None:
+    """The entries' names, None if there are more than MAX_ENTRIES."""
+    rows = ref.filter(F.col("field_name") == field).select("canonical").limit(MAX_ENTRIES + 1).collect()
+    return [r["canonical"] for r in rows] if len(rows) <= MAX_ENTRIES else None

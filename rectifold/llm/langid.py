@@ -15,11 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing
-from ..session import checkpoint, received, share
+from ..operators.hot import attach
+from ..session import checkpoint, received, share, written
 
 # The languages told apart, and how labels name them (two- and three-letter codes and names).
 LANGUAGES = ("de", "en", "es", "fr", "hi", "it", "nl", "pt")
@@ -34,6 +35,7 @@ SUFFIXES = {"de": "de", "at": "de", "uk": "en", "us": "en", "ie": "en", "es": "e
 
 SAMPLE_DOCS = 20_000  # labelled documents that the text model may be fitted on, at most
 MIN_COUNT = 3  # times a word must occur in the sample to have its own likelihood
+KNOWN_WORDS = 300_000  # words whose scores a task keeps
 MAX_FEATURES = 200_000  # most frequent features the model keeps
 MAX_HOSTS = 10_000  # hosts whose priors may be broadcast
 LEAST_WORDS, LEAST_LETTERS = 5, 18  # of a segment that counts as a whole sentence
@@ -74,25 +76,33 @@ class TextModel:
             rate = (c * (mean / totals) + 0.05) / (mean + 0.05 * size)
             x = np.log(rate)
             self.logs[f] = x - x.mean()
-        self.known: dict[str, np.ndarray] = {}
         self.zero = np.zeros(len(LANGUAGES))
-        self.cut, self.noise, self.word = CUT, NOISE, WORD
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, len(LANGUAGES)))
+        self.cut, self.noise, self.word = regex.compile(CUT), regex.compile(NOISE), regex.compile(WORD)
 
     def of_word(self, word: str) -> np.ndarray:
-        hit = self.known.get(word)
+        own = self.logs.get(word)
+        grams = [self.logs[g] for g in _features(word)[1:] if g in self.logs]
+        return (own if own is not None else self.zero) + (np.mean(grams, axis=0) * (1.0 if own is not None else 2.0) if grams else self.zero)
+
+    def row(self, word: str) -> int:
+        """The row of the word in the table of scores; beyond KNOWN_WORDS the table starts anew."""
+        hit = self.rows.get(word)
         if hit is None:
-            own = self.logs.get(word)
-            grams = [self.logs[g] for g in _features(word)[1:] if g in self.logs]
-            hit = (own if own is not None else self.zero) + (np.mean(grams, axis=0) * (1.0 if own is not None else 2.0) if grams else self.zero)
-            if len(self.known) < 300_000:
-                self.known[word] = hit
+            if len(self.rows) >= KNOWN_WORDS:
+                raise OverflowError
+            hit = len(self.rows)
+            if hit == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[hit] = self.of_word(word)
+            self.rows[word] = hit
         return hit
 
     def segments(self, text: str) -> list[tuple[int, int, list[str]]]:
         """(start, end, words) of every segment of the text that has a letter."""
         out, at = [], 0
-        cut, noise, word = regex.compile(self.cut), regex.compile(self.noise), regex.compile(self.word)
-        for m in cut.finditer(text):
+        for m in self.cut.finditer(text):
             if m.start() > at:
                 out.append((at, m.start()))
             at = m.end()
@@ -100,13 +110,23 @@ class TextModel:
             out.append((at, len(text)))
         got = []
         for a, b in out:
-            ws = [w.lower() for w in word.findall(noise.sub(" ", text[a:b]))]
+            ws = self.word.findall(self.noise.sub(" ", text[a:b]).lower())
             if ws:
                 got.append((a, b, ws))
         return got
 
-    def score(self, words: list[str]) -> np.ndarray:
-        return np.sum([self.of_word(w) for w in words[:400]], axis=0) if len(words) <= 400 else np.sum([self.of_word(w) * n for w, n in Counter(words).items()], axis=0)
+    def scores(self, segments: list[list[str]]) -> np.ndarray:
+        """Log-likelihoods of the segments (lists of words, none empty), a row each."""
+        known = self.rows
+        try:
+            at = [known[w] if w in known else self.row(w) for ws in segments for w in ws]
+        except OverflowError:
+            if len({w for ws in segments for w in ws}) >= KNOWN_WORDS:  # more words than the table holds: each segment by itself
+                return np.array([np.sum([self.of_word(w) * n for w, n in Counter(ws).items()], axis=0) for ws in segments])
+            self.rows.clear()
+            at = [self.row(w) for ws in segments for w in ws]
+        starts = np.concatenate([[0], np.cumsum([len(ws) for ws in segments])[:-1]])
+        return np.add.reduceat(self.table[at], starts, axis=0)
 
 
 def _sample(docs: DataFrame, doc_id: str, text: str, label: str, most: int) -> DataFrame:
@@ -132,9 +152,10 @@ def train(docs: DataFrame, doc_id: str, text: str, label: str, most: int = SAMPL
                 got: Counter = Counter()
                 for t, lang in zip(pdf["_text"], pdf["_lang"], strict=True):
                     seen: dict[str, set[str]] = {}  # a text counts a word once, so that long or repetitive texts do not outweigh others
-                    for _, _, ws in own.segments(t):
-                        if len(ws) >= LEAST_WORDS:
-                            seen.setdefault(lang if first else LANGUAGES[int(np.argmax(own.score(ws)))], set()).update(ws)
+                    long = [ws for _, _, ws in own.segments(t) if len(ws) >= LEAST_WORDS]
+                    guessed = [lang] * len(long) if first or not long else [LANGUAGES[k] for k in own.scores(long).argmax(axis=1)]
+                    for la, ws in zip(guessed, long, strict=True):
+                        seen.setdefault(la, set()).update(ws)
                     for la, words in seen.items():
                         for w in words:
                             for f in _features(w):
@@ -152,10 +173,11 @@ def host_priors(docs: DataFrame, host: str, kind: str, label: str) -> DataFrame:
     """(_host, _kind, prior): smoothed shares of the declared languages by host and document type, from counts over all documents."""
     lang = declared(F.col(label))
     each = docs.groupBy(F.col(host).alias("_host"), F.col(kind).alias("_kind")).agg(*[F.sum(F.when(lang == la, 1).otherwise(0)).alias(la) for la in LANGUAGES])
-    every = each.select("_host", "_kind", F.array(*[F.col(la).cast("double") for la in LANGUAGES]).alias("n"))
-    add = lambda w: F.array(*[F.sum(F.col("n")[i]).over(w) for i in range(len(LANGUAGES))])
-    # windows over one row per host and type, not over documents
-    every = every.withColumn("by_host", add(Window.partitionBy("_host"))).withColumn("by_kind", add(Window.partitionBy("_kind")))
+    every = written(each.select("_host", "_kind", F.array(*[F.col(la).cast("double") for la in LANGUAGES]).alias("n")))
+    add = F.array(*[F.sum(F.col("n")[i]) for i in range(len(LANGUAGES))])
+    kinds = every.groupBy(F.col("_kind").alias("_k2")).agg(add.alias("by_kind"))
+    hosts = every.groupBy(F.col("_host").alias("_h2")).agg(add.alias("by_host"))
+    every = attach(attach(every, kinds, {"_kind": "_k2"}, null_safe=True), hosts, {"_host": "_h2"}, null_safe=True)
     total = every.agg(*[F.coalesce(F.sum(F.col("n")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(LANGUAGES))]).select(F.array(*[f"t{i}" for i in range(len(LANGUAGES))]).alias("all"))
     every = every.crossJoin(F.broadcast(total))  # one row
 
@@ -178,7 +200,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
 
     languages are those of at least one whole sentence of posterior SURE or more; a text without any has the best language of all its
     segments together; a text without letters (null, empty and blank texts too) has none. Equal posteriors go to the first language by code.
-    Priors meet the documents by a broadcast as long as there are at most MAX_HOSTS of them, else by a join.
+    Priors meet the documents by a broadcast as long as there are at most MAX_HOSTS of them, else by a join on the document's id.
     """
     model = model or train(docs, doc_id, text, label)
     shared = share(docs.sparkSession, model)
@@ -188,7 +210,12 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
     lab = F.col(label)
     gone = is_missing(lab) | F.lower(F.trim(lab)).isin(*UNDETERMINED)
     src = docs.select(F.col(doc_id).cast("bigint").alias("_doc"), F.col(text).alias("_text"), declared(lab).alias("_label"), gone.alias("_missing"), F.col(host).alias("_host"), F.col(kind).alias("_kind"))
-    src = src.join(F.broadcast(p) if small else p, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_kind").eqNullSafe(F.col("_kd")), "left").select("_doc", "_text", "_label", "_missing", "prior")
+    if small:
+        src = src.join(F.broadcast(p), F.col("_host").eqNullSafe(F.col("_h")) & F.col("_kind").eqNullSafe(F.col("_kd")), "left")
+    else:  # hosts meet ids only, salted; the texts meet their priors by id, which no host can crowd
+        own = attach(src.select("_doc", "_host", "_kind").distinct(), p, {"_host": "_h", "_kind": "_kd"}, null_safe=True).groupBy(F.col("_doc").alias("_d"), F.col("_host").alias("_h"), F.col("_kind").alias("_kd")).agg(F.first("prior").alias("prior"))
+        src = src.join(own, (F.col("_doc") == F.col("_d")) & F.col("_host").eqNullSafe(F.col("_h")) & F.col("_kind").eqNullSafe(F.col("_kd")), "left")
+    src = src.select("_doc", "_text", "_label", "_missing", "prior")
     schema = f"{doc_id} bigint, label string, label_missing boolean, has_letter boolean, segments array<struct<start:int,end:int,lang:string,confidence:double,sentence:boolean>>, languages array<string>"
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,7 +239,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
                     lp[at[lab_]] += math.log(LABEL_ODDS)
                 for la in {SUFFIXES[x] for x in address.findall(t) if x in SUFFIXES}:
                     lp[at[la]] += math.log(SUFFIX_ODDS)
-                ll = np.array([own.score(ws) for _, _, ws in segs])
+                ll = own.scores([ws for _, _, ws in segs])
                 post = _soft(TEMPERATURE * ll + lp)
                 best, conf = post.argmax(axis=1).tolist(), post.max(axis=1).tolist()
                 whole = [len(ws) >= LEAST_WORDS and sum(map(len, ws)) >= LEAST_LETTERS for _, _, ws in segs]

@@ -52,18 +52,23 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+ITEM = ["_i0", "_i1", "_i2"]  # what names an item exactly: document, part and 0, or round, group and container of a piece
+
+
 def _grouped(items: DataFrame, capacity: int, salt: int, group_items: int) -> DataFrame:
-    """items (_item, _size) with the container `_c` of their group `_g`."""
+    """items (ITEM, _size) with the container `_c` of their group `_g`."""
     n = items.count()
     groups = max(1, -(-n // group_items))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_mix", "_item"], kind="stable").reset_index(drop=True)
-        return pd.DataFrame({"_item": pdf["_item"], "_size": pdf["_size"], "_g": key[0], "_c": pack(pdf["_size"].to_numpy(), capacity)})
+        pdf = pdf.sort_values(["_mix", *ITEM], kind="stable").reset_index(drop=True)
+        out = pdf[[*ITEM, "_size"]].copy()
+        out["_g"], out["_c"] = key[0], pack(pdf["_size"].to_numpy(), capacity)
+        return out
 
-    mixed = items.select("_item", "_size", F.xxhash64(F.lit(salt), "_item").alias("_mix"))
+    mixed = items.select(*ITEM, "_size", F.xxhash64(F.lit(salt), *ITEM).alias("_mix"))
     mixed = mixed.withColumn("_g", F.pmod("_mix", F.lit(groups)))
-    return mixed.groupBy("_g").applyInPandas(run, "_item bigint, _size int, _g bigint, _c bigint")
+    return mixed.groupBy("_g").applyInPandas(run, "_i0 bigint, _i1 bigint, _i2 bigint, _size int, _g bigint, _c bigint")
 
 
 def fill_containers(docs: DataFrame, doc_id: str, size: str, capacity: int, rounds: int = 2, group_items: int = GROUP_ITEMS) -> DataFrame:
@@ -71,28 +76,28 @@ def fill_containers(docs: DataFrame, doc_id: str, size: str, capacity: int, roun
 
     An item larger than the capacity is cut into full parts and a rest; no other is split. Items of size 0 or null need no container
     and have container_id null and one row. doc_id must be unique. The order of packing goes by a hash of doc_id, so the result depends
-    neither on partitions nor on row order.
+    neither on partitions nor on row order; pieces and containers meet by their exact names, never by a hash alone.
     """
     pieces = docs.select(F.col(doc_id).cast("bigint").alias("_doc"), F.coalesce(F.col(size).cast("int"), F.lit(0)).alias("_n"))
     n_parts = F.greatest(F.ceil(F.col("_n") / capacity), F.lit(1)).cast("int")
     pieces = pieces.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-    pieces = pieces.withColumn("start", F.col("part") * capacity).withColumn("length", F.least(F.lit(capacity), F.col("_n") - F.col("start")))
-    pieces = checkpoint(pieces.withColumn("_item", F.xxhash64("_doc", "part")))
-    whole = pieces.filter(F.col("length") == capacity).select("_item", F.concat_ws(":", F.lit("w"), "_doc", "part").alias("container_id"))
-    left = pieces.filter((F.col("length") > 0) & (F.col("length") < capacity)).select("_item", F.col("length").alias("_size"))
+    pieces = checkpoint(pieces.withColumn("start", F.col("part") * capacity).withColumn("length", F.least(F.lit(capacity), F.col("_n") - F.col("start"))))
+    big = lambda x: x.cast("bigint")
+    left = pieces.filter((F.col("length") > 0) & (F.col("length") < capacity)).select(F.col("_doc").alias("_i0"), big(F.col("part")).alias("_i1"), big(F.lit(0)).alias("_i2"), F.col("length").alias("_size"))
     packed = checkpoint(_grouped(left, capacity, 0, group_items))
-    home = packed.select("_item", F.xxhash64(F.lit(0), "_g", "_c").alias("_bin"))
-    bins = packed.groupBy(F.xxhash64(F.lit(0), "_g", "_c").alias("_item")).agg(F.sum("_size").cast("int").alias("_size"))
+    home = packed.select(F.col("_i0").alias("_doc"), F.col("_i1").cast("int").alias("part"), big(F.lit(0)).alias("_k"), "_g", "_c")
+    bins = packed.groupBy(big(F.lit(0)).alias("_i0"), F.col("_g").alias("_i1"), F.col("_c").alias("_i2")).agg(F.sum("_size").cast("int").alias("_size"))
     for k in range(1, rounds + 1):
         slack = checkpoint(bins.filter(F.col("_size") < WELL_FILLED * capacity))
         if slack.limit(2).count() < 2:
             break
         again = checkpoint(_grouped(slack, capacity, k, group_items))
-        moved = again.select(F.col("_item").alias("_bin"), F.xxhash64(F.lit(k), "_g", "_c").alias("_new"))
-        home = home.join(moved, "_bin", "left").select("_item", F.coalesce("_new", "_bin").alias("_bin"))
-        bins = again.groupBy(F.xxhash64(F.lit(k), "_g", "_c").alias("_item")).agg(F.sum("_size").cast("int").alias("_size"))
-    named = home.select("_item", F.concat_ws(":", F.lit("c"), F.col("_bin")).alias("container_id")).unionByName(whole)
-    return pieces.join(named, "_item", "left").select("container_id", F.col("_doc").alias(doc_id), "part", "start", "length")
+        moved = again.select(F.col("_i0").alias("_k"), F.col("_i1").alias("_g"), F.col("_i2").alias("_c"), F.col("_g").alias("_ng"), F.col("_c").alias("_nc"))
+        home = home.join(moved, ["_k", "_g", "_c"], "left").select("_doc", "part", F.when(F.col("_nc").isNotNull(), k).otherwise(F.col("_k")).cast("bigint").alias("_k"), F.coalesce("_ng", "_g").alias("_g"), F.coalesce("_nc", "_c").alias("_c"))
+        bins = again.groupBy(big(F.lit(k)).alias("_i0"), F.col("_g").alias("_i1"), F.col("_c").alias("_i2")).agg(F.sum("_size").cast("int").alias("_size"))
+    named = home.select("_doc", "part", F.concat_ws(":", F.lit("c"), "_k", "_g", "_c").alias("_in"))
+    whole = F.when(F.col("length") == capacity, F.concat_ws(":", F.lit("w"), "_doc", "part"))
+    return pieces.join(named, ["_doc", "part"], "left").select(F.coalesce("_in", whole).alias("container_id"), F.col("_doc").alias(doc_id), "part", "start", "length")
 
 
 def filling(packed: DataFrame, capacity: int) -> DataFrame:

@@ -95,6 +95,49 @@ def test_symmetric_deletes_find_all_near_names():
             assert got and similar.typing_distance(typed, next(n for n, r, _ in book.names if r == got)) <= best + 0.31
 
 
+def test_index_holds_all_that_lies_within_the_distance():
+    """Every name that `_near` would accept among all names is among those the index gives, whatever mix of cheap and dear errors; long names and many words too."""
+    rng = random.Random(11)
+    names_ = ["".join(rng.choice("abcdefgqwsz") for _ in range(n)) for n in (5, 6, 8, 9, 11, 12, 13, 14, 15, 17, 22, 48) for _ in range(4)] + ["aabbcceedd", "Saint Orvane of the Seven Golden Hills and the Nine Long Rivers by the Sea"]
+    book = canon.Dictionary("city", [(i + 1, n, None) for i, n in enumerate(names_)])
+    every = set(range(len(book.names)))
+    hits = 0
+    for _ in range(6000):
+        s = list(rng.choice(book.names)[0])
+        for _ in range(rng.randrange(1, 6)):
+            k = rng.randrange(len(s))
+            kind = rng.randrange(5)
+            if kind == 0:
+                s.insert(k, s[k])
+            elif kind == 1 and k + 1 < len(s):
+                s[k], s[k + 1] = s[k + 1], s[k]
+            elif kind == 2 and len(s) > 3:
+                del s[k]
+            elif kind == 3:
+                s[k] = rng.choice("abcdefgqwsz")
+            else:
+                s.insert(k, rng.choice("abcdefgqwsz"))
+        typed = "".join(s)
+        want = book._near(typed, every)
+        hits += want is not None
+        assert book._near(typed) == want, typed
+    assert hits > 1000
+    assert book.find("Saint Orvane of the Sevn Golden Hills and the Nine Long Rivers by the Sea") == len(names_)
+
+
+def test_lists_of_any_length_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    entries = [(i, "city", "".join(rng.choice("abdegiklmnorstuv") for _ in range(rng.randrange(5, 12))).title(), None) for i in range(1, 60)] + [(90, "city", "Research Valley", "RV9"), (91, "city", "Research Hills", None)]
+    r = spark.createDataFrame(entries, "ref_id int, field_name string, canonical string, aliases string")
+    typed = [n if rng.random() < 0.2 else n[: rng.randrange(3, len(n) + 1)] + rng.choice(["", "x", " city"]) for _, _, n, _ in entries] * 2 + [None, "n/a", "rv9.", "Resea", "nowhere at all"]
+    df = spark.createDataFrame(list(enumerate(typed)), "row_id int, city string")
+    want = sorted((x["row_id"], x["ref_id"]) for x in canon.mapped_values(df, "city", r).collect())
+    monkeypatch.setattr(canon, "MAX_ENTRIES", 7)
+    got = sorted((x["row_id"], x["ref_id"]) for x in canon.mapped_values(df, "city", r).collect())
+    assert got == want and any(i for _, i in got) and not all(i for _, i in got)
+    assert canon.mapped_values(df.limit(0), "city", r).count() == 0 and {x["ref_id"] for x in canon.mapped_values(df, "city", r.limit(0)).collect()} == {0}
+
+
 def test_mapped_values_report_misses(spark, monkeypatch):
     df = spark.createDataFrame([(1, "Kestrapur", 9), (2, "kestrapr", 9), (3, None, 9), (4, " n/a ", 9), (5, "village", 9), (5, "village", 9)], "row_id int, city string, ref_id int")
     got = sorted((r["row_id"], r["ref_id"]) for r in canon.mapped_values(df, "city", ref(spark)).collect())
