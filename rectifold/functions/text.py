@@ -18,7 +18,7 @@ QUALITY_SENTINELS = ("", *R1_TOKENS)
 # The configured missing tokens after normalising.
 CONFIG_MISSING = ("", "nan", "none", "null", "n/a", "na", "?", "-")
 # The tokens the type checks read as null.
-TYPE_NULL_TOKENS = ("n/a", "na", "missing", "null", "none", "?", "-", "undefined", "")
+TYPE_NULL_TOKENS = ("n/a", "na", "null", "none", "?", "-", "undefined", "missing", "")
 # What the safe imputer reads as missing.
 IMPUTER_MISSING = ("", "nan", "null", "none", "n/a", "na", "?")
 # What the interactive fill reads as blank.

@@ -105,42 +105,66 @@ def impute(df: DataFrame, numeric: str = "median", categorical: str = "mode", co
     return df.withColumns(out) if out else df
 
 
-def knn_impute(df: DataFrame, columns: list[str], k: int = 5, donors: int = 2000) -> DataFrame:
-    """Numeric blanks from the mean of the k nearest complete-enough rows (distance over shared columns, scaled up for missing ones).
+DONOR_BLOCK = 50_000  # rows that a task compares with at a time
 
-    All rows are donors as long as there are at most `donors`; beyond that donors are that many rows by hash, sent to every task, a documented
-    deviation of this opt-in method. The default imputation is exact at any size.
+
+def knn_impute(df: DataFrame, columns: list[str], k: int = 5, donors: int | None = None) -> DataFrame:
+    """Numeric blanks from the mean of the k nearest rows that have the value (distance over shared columns, scaled up for missing ones).
+
+    All rows are donors: rows with blanks are the queries and meet the donors in blocks of DONOR_BLOCK rows, read one after the other; each block keeps the k
+    nearest of every blank and the next block improves on them. With `donors` only so many rows by hash are compared with, for those who want that. Ties in distance go to
+    the smaller row id; without any comparable row the mean of the column's values is taken.
     """
     import numpy as np
     import pandas as pd
 
-    from ..session import received, share
+    from ..session import checkpoint, received, share
 
     names = [f"`{c}`" for c in columns]
-    x = df.select(ROW, *[F.col(n).cast("double").alias(c) for n, c in zip(names, columns, strict=True)])
-    base = x.orderBy(F.xxhash64(F.lit(5), ROW), ROW).limit(donors).toPandas()[columns].to_numpy(dtype=float)
-    shared = share(df.sparkSession, base)
-
-    def run(it):
-        d = received(shared)
-        for pdf in it:
-            m = pdf[columns].to_numpy(dtype=float)
-            for i in np.flatnonzero(np.isnan(m).any(axis=1)):
-                both = ~np.isnan(d) & ~np.isnan(m[i])
-                n = both.sum(axis=1)
-                dist = np.where(both, (d - m[i]) ** 2, 0).sum(axis=1) * len(columns) / np.maximum(n, 1)
-                dist[n == 0] = np.inf
-                for j in np.flatnonzero(np.isnan(m[i])):
-                    ok = np.flatnonzero(~np.isnan(d[:, j]) & np.isfinite(dist))
-                    near = ok[np.argsort(dist[ok], kind="stable")[:k]]
-                    pool = d[near, j] if len(near) else d[~np.isnan(d[:, j]), j]
-                    if len(pool):
-                        pdf.iat[i, 1 + j] = round(float(pool.mean()), 3)
-            yield pdf
-
-    filled = x.mapInPandas(run, x.schema)
-    rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest).join(filled, ROW).select(*df.columns)
+    x = checkpoint(df.select(ROW, *[F.col(n).cast("double").alias(c) for n, c in zip(names, columns, strict=True)]))
+    pool = x.orderBy(F.xxhash64(F.lit(5), ROW), ROW).limit(donors) if donors is not None else x
+    n = pool.count()
+    blocks = max(1, -(-n // DONOR_BLOCK))
+    placed = pool.withColumn("_b", F.pmod(F.xxhash64(F.lit(5), ROW), F.lit(blocks))) if blocks > 1 else pool.withColumn("_b", F.lit(0))
+    open_rows = x.filter(" or ".join(f"`{c}` is null or isnan(`{c}`)" for c in columns))
+    means = x.agg(*[F.avg(F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    near_type = "array<array<struct<d:double,id:bigint,v:double>>>"
+    asked = open_rows.withColumn("_near", F.lit(None).cast(near_type))
+    for b in range(blocks):
+        block = placed.filter(F.col("_b") == b).drop("_b").toPandas()  # about DONOR_BLOCK rows
+        shared = share(df.sparkSession, (block[ROW].to_numpy(), block[columns].to_numpy(dtype=float)))
+
+        def run(it, shared=shared):
+            ids, d = received(shared)
+            for pdf in it:
+                m = pdf[columns].to_numpy(dtype=float)
+                out = []
+                for i in range(len(m)):
+                    both = ~np.isnan(d) & ~np.isnan(m[i])
+                    count = both.sum(axis=1)
+                    dist = np.where(both, (d - m[i]) ** 2, 0).sum(axis=1) * len(columns) / np.maximum(count, 1)
+                    dist[(count == 0) | (ids == pdf[ROW].iloc[i])] = np.inf
+                    old = pdf["_near"].iloc[i]
+                    mine = []
+                    for j in range(len(columns)):
+                        best = [(e["d"], e["id"], e["v"]) for e in old[j]] if old is not None else []
+                        if np.isnan(m[i, j]):
+                            ok = np.flatnonzero(~np.isnan(d[:, j]) & np.isfinite(dist))
+                            some = ok[np.lexsort((ids[ok], dist[ok]))[:k]] if len(ok) else ok
+                            best = sorted([*best, *((float(dist[z]), int(ids[z]), float(d[z, j])) for z in some)])[:k]
+                        mine.append([{"d": a, "id": c, "v": v} for a, c, v in best])
+                    out.append(mine)
+                yield pdf[[ROW, *columns]].assign(_near=pd.Series(out, index=pdf.index, dtype=object))
+
+        asked = asked.mapInPandas(run, asked.schema)
+        asked = checkpoint(asked) if blocks > 1 else asked
+    mean = lambda i: F.aggregate(F.col("_near")[i], F.lit(0.0), lambda a, e: a + e["v"]) / F.size(F.col("_near")[i])
+    value = lambda i: F.when(F.size(F.col("_near")[i]) > 0, mean(i)).otherwise(F.lit(means[i]))
+    got = asked.select(F.col(ROW).alias("_fid"), *[F.round(value(i), 3).alias(f"_f{i}") for i in range(len(columns))])
+    fills = df.join(got, F.col(ROW) == F.col("_fid"), "left")
+    blank = lambda c: F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double"))
+    done = {c: F.when(blank(c), F.col(f"_f{i}")).otherwise(F.col(f"`{c}`").cast("double")).alias(c) for i, c in enumerate(columns)}
+    return fills.select(*[done.get(c, F.col(f"`{c}`")) for c in df.columns])
 
 
 def handle_outliers(df: DataFrame, how: str = "flag_only", columns: list[str] | None = None, factor: float = 1.5) -> DataFrame:

@@ -10,7 +10,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import written
 
@@ -19,13 +18,24 @@ HEAD = 400
 
 
 def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
-    """df with a stable `_row_id`: a unique integer column if one is named, else the order of arrival, numbered without gathering rows."""
+    """df with a stable `_row_id`: a unique integer column if one is named, else the order of arrival, numbered without gathering rows.
+
+    Numbering writes the table once with the numbers of rows within their tasks, so that these stay, and adds the rows of the tasks before: one count per
+    task reaches the driver.
+    """
     if key:
         return df.withColumn(ROW, F.col(key).cast("bigint"))
     if ROW in df.columns:
         return df
-    schema = T.StructType([*df.schema.fields, T.StructField(ROW, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    mixed = written(df.withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright(F.col("_at"), 33)
+    before, offsets = 0, []
+    for r in mixed.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect():
+        offsets.append((r["task"], before))
+        before += r["n"]
+    starts = df.sparkSession.createDataFrame(offsets, "_task bigint, _start bigint")
+    rows = mixed.join(F.broadcast(starts), task == F.col("_task"))  # a row per task
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(ROW))
 
 
 def as_text(df: DataFrame) -> DataFrame:
