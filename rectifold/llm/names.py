@@ -51,38 +51,48 @@ def words(name: Column) -> Column:
     return F.filter(F.split(joined, " "), lambda w: w != "")
 
 
-def suffixes(word: Column) -> Column:
+def suffixes(forms: Column) -> Column:
     """Hashed suffix keys of a word's forms: the suffix of each, and that of the form without its last letter, as a letter may be missing or too many at the end."""
     tail = lambda w: F.when(F.length(w) > SUFFIX, F.substr(w, F.length(w) - F.lit(SUFFIX - 1))).otherwise(w)
-    both = lambda w: F.array(tail(w), F.when(F.length(w) > SUFFIX, tail(F.substr(w, F.lit(1), F.length(w) - 1))))
-    return F.transform(F.array_compact(F.flatten(F.transform(F.split(word, r"\|"), both))), lambda k: F.hash(k))
+    both = lambda w: F.array(F.hash(tail(w)), F.when(F.length(w) > SUFFIX, F.hash(tail(F.substr(w, F.lit(1), F.length(w) - 1)))))
+    return F.array_compact(F.flatten(F.transform(forms, both)))
 
 
-def ends(word: Column) -> Column:
+def ends(forms: Column) -> Column:
     """What refines a key, hashed: beginning and end of each form of a word; of two letters in words of up to eight, of three in those of three and more, so that words one edit apart share one."""
     n = F.length
-    end = lambda w, k: F.concat(F.lit(f"{k}>"), F.substr(w, n(w) - F.lit(k - 1)))
-    begin = lambda w, k: F.concat(F.lit(f"{k}<"), F.substring(w, 1, k))
+    end = lambda w, k: F.hash(F.lit(k), F.substr(w, n(w) - F.lit(k - 1)))
+    begin = lambda w, k: F.hash(F.lit(-k), F.substring(w, 1, k))
     each = lambda w: F.array(F.when(n(w) <= 8, begin(w, 2)), F.when(n(w) <= 8, end(w, 2)), F.when(n(w) >= 3, begin(w, 3)), F.when(n(w) >= 6, end(w, 3)))
-    return F.transform(F.array_compact(F.flatten(F.transform(F.split(word, r"\|"), each))), lambda k: F.hash(k))
+    return F.array_compact(F.flatten(F.transform(forms, each)))
 
 
 def with_keys(forms: DataFrame, name: str) -> DataFrame:
-    """forms with `_single` (at most one full word), `_k1` (suffixes), `_k2` (suffix of a word with beginning or end of another), hashed, and `_bits`, the suffixes as a set of 64 bits.
-
-    Names of more than MANY_WORDS words combine words side by side only, so that keys grow with the words and not with their square.
-    """
+    """forms with `_sa` and `_sb` (hashed suffixes and ends of each full word), `_single` (at most one full word) and `_bits`, the suffixes as a set of 64 bits."""
     out = forms.withColumn("_ws", words(F.col(name)))
-    out = out.withColumn("_sa", F.transform("_ws", suffixes)).withColumn("_sb", F.transform("_ws", ends))
-    none = F.array().cast("array<int>")
-    beside = lambda i: F.flatten(F.transform("_sb", lambda sb, j: F.when(i != j, sb).otherwise(none)))
-    near = lambda i: F.flatten(F.transform(F.slice("_sb", F.greatest(i, F.lit(1)), F.least(i + 1, F.lit(2)) + 1), lambda sb, j: F.when(j != F.least(i, F.lit(1)), sb).otherwise(none)))
-    others = lambda i: F.when(F.size("_ws") <= MANY_WORDS, beside(i)).otherwise(near(i))
-    pairs = lambda sa, i: F.flatten(F.transform(sa, lambda a: F.transform(others(i), lambda b: a.bitwiseXOR(b))))
-    out = out.withColumn("_k2", F.flatten(F.transform("_sa", pairs)))
-    out = out.withColumn("_k1", F.array_distinct(F.flatten("_sa")))
-    bits = F.aggregate("_k1", F.lit(0).cast("bigint"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(k, F.lit(64)))))
-    return out.withColumn("_bits", bits).withColumn("_single", F.size("_ws") <= 1).drop("_ws", "_sa", "_sb")
+    out = out.withColumn("_ws", F.transform("_ws", lambda w: F.when(F.contains(w, F.lit("|")), F.split(w, r"\|")).otherwise(F.array(w))))
+    out = out.withColumn("_sa", F.transform("_ws", suffixes)).withColumn("_sb", F.transform("_ws", ends)).withColumn("_single", F.size("_ws") <= 1)
+    bits = F.aggregate(F.flatten("_sa"), F.lit(0).cast("bigint"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(k, F.lit(64)))))
+    return out.withColumn("_bits", bits).drop("_ws")
+
+
+def _others(sb: Column, i: Column) -> Column:
+    """Ends of the words beside word i: of all others, in names of more than MANY_WORDS words of those next to it, so that keys grow with the words and not with their square."""
+    near = lambda b, j: j != F.least(i, F.lit(1))
+    return F.flatten(F.when(F.size(sb) <= MANY_WORDS, F.filter(sb, lambda b, j: j != i)).otherwise(F.filter(F.slice(sb, F.greatest(i, F.lit(1)), F.least(i, F.lit(1)) + 2), near)))
+
+
+def share_a_key(x: Column, y: Column) -> Column:
+    """Whether two forms share the suffix of a word and an end of another; the suffix alone where one of them has a single full word. The bits rule most pairs out."""
+    true = lambda t: t
+    twice = F.exists(F.transform(x["_sa"], lambda a, i: F.exists(F.transform(y["_sa"], lambda b, j: F.arrays_overlap(a, b) & F.arrays_overlap(_others(x["_sb"], i), _others(y["_sb"], j))), true)), true)
+    once = F.arrays_overlap(F.flatten(x["_sa"]), F.flatten(y["_sa"]))
+    return (x["_bits"].bitwiseAND(y["_bits"]) != 0) & F.when(x["_single"] | y["_single"], once).otherwise(twice)
+
+
+def index_keys(sa: Column, sb: Column) -> Column:
+    """The same as hashed keys of one form: each suffix with each end of another word."""
+    return F.array_distinct(F.flatten(F.transform(sa, lambda ks, i: F.flatten(F.transform(ks, lambda a: F.transform(_others(sb, i), lambda b: F.xxhash64(a, b)))))))
 
 
 SIDE = ("_form", "_name", "_lo", "_hi")
@@ -101,7 +111,7 @@ def packs(forms: DataFrame, tile: int = TILE) -> DataFrame:
     identities use them.
     """
     keyed = with_keys(forms.filter(F.coalesce(F.col("_n") > 1, F.lit(True)) | (F.col("_lo") < F.col("_hi"))), "_name")
-    one = F.struct(*SIDE, "_single", "_bits", "_k1", "_k2")
+    one = F.struct(*SIDE, "_single", "_bits", "_sa", "_sb")
     part = F.when(F.col("_n") <= tile, 0).otherwise(F.pmod("_form", F.ceil(F.col("_n") / tile)))
     known = keyed.filter(F.col("_n").isNotNull()).groupBy("_block", "_n", part.alias("_part")).agg(F.collect_list(one).alias("_fs")).drop("_part")
     return known.unionByName(keyed.filter(F.col("_n").isNull()).select("_block", "_n", F.array(one).alias("_fs")))
@@ -114,15 +124,13 @@ def candidate_pairs(packed: DataFrame, tile: int = TILE) -> DataFrame:
     about `tile` by `tile` forms, each of them a group of its own.
     """
     small = packed.filter((F.col("_n") <= tile) & (F.col("_n") > 1)).select("_fs", F.explode("_fs").alias("x"))
-    suffix = lambda x, y: (x["_bits"].bitwiseAND(y["_bits"]) != 0) & F.arrays_overlap(x["_k1"], y["_k1"])  # the bits rule most pairs out
-    share = lambda x, y: suffix(x, y) & (x["_single"] | y["_single"] | F.arrays_overlap(x["_k2"], y["_k2"]))
-    near = F.filter("_fs", lambda y: (F.col("x")["_form"] < y["_form"]) & share(F.col("x"), y))
+    near = F.filter("_fs", lambda y: (F.col("x")["_form"] < y["_form"]) & share_a_key(F.col("x"), y))
     near = F.transform(near, lambda y: F.struct(*[y[c].alias(c) for c in SIDE]))
     local = small.select("x", F.explode(near).alias("y")).select(*_both(F.col("x"), F.col("y")))
 
     large = packed.filter(F.coalesce(F.col("_n") > tile, F.lit(True))).select("_block", F.explode("_fs").alias("f"))
     key = lambda left, *k: F.struct(F.xxhash64("_block", *k).alias("k"), left.alias("left"))
-    keys = F.concat(F.transform(F.array_distinct("f._k2"), lambda k: key(F.lit(True), k)), F.transform("f._k1", lambda k: key(F.col("f._single"), k, F.lit(1))))
+    keys = F.concat(F.transform(index_keys(F.col("f._sa"), F.col("f._sb")), lambda k: key(F.lit(True), k)), F.transform(F.array_distinct(F.flatten("f._sa")), lambda k: key(F.col("f._single"), k, F.lit(1))))
     index = written(large.select(*[F.col(f"f.{c}") for c in SIDE], F.explode(keys).alias("_k")).select(*SIDE, F.col("_k.k").alias("_k"), F.col("_k.left").alias("_left")))
     held = index.groupBy("_k").agg(F.sum(F.col("_left").cast("bigint")).alias("_nl"), F.count(F.lit(1)).alias("_nr")).filter((F.col("_nl") > 0) & (F.col("_nr") > 1))
     placed = index.join(held, "_k").withColumn("_rows", F.ceil(F.col("_nl") / tile)).withColumn("_cols", F.ceil(F.col("_nr") / tile))
