@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,6 +209,23 @@ def map_values(df: DataFrame, column: str, book: Dictionary, out: str = "ref_id"
     return df.withColumn(out, F.when(~is_missing(F.col(column)), lookup(F.col(column))))
 
 
+def map_either(df: DataFrame, first: str, second: str, book: Dictionary, out: str) -> DataFrame:
+    """df with the id the first value means or, where it is given but means none, less the id that the second one means; 0 for neither. One pass for both."""
+    shared = share(df.sparkSession, book)
+
+    @F.pandas_udf("int")
+    def lookup(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = received(shared)
+        for a, b in batches:
+            codes, uniques = pd.factorize(a)
+            found = np.array([*(own.find(u) for u in uniques), 0], dtype=np.int32)[codes]  # the last is for null
+            for i in np.flatnonzero((found == 0) & (codes >= 0) & b.notna().to_numpy()):
+                found[i] = -own.find(b.iat[i])
+            yield pd.Series(found)
+
+    return df.withColumn(out, lookup(F.col(first), F.col(second)))
+
+
 def _ranking(shared):
     @F.pandas_udf("array<double>")
     def ranked(s: pd.Series) -> pd.Series:

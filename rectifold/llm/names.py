@@ -87,7 +87,7 @@ def share_a_key(x: Column, y: Column) -> Column:
     true = lambda t: t
     twice = F.exists(F.transform(x["_sa"], lambda a, i: F.exists(F.transform(y["_sa"], lambda b, j: F.arrays_overlap(a, b) & F.arrays_overlap(_others(x["_sb"], i), _others(y["_sb"], j))), true)), true)
     once = F.arrays_overlap(F.flatten(x["_sa"]), F.flatten(y["_sa"]))
-    return (x["_bits"].bitwiseAND(y["_bits"]) != 0) & F.when(x["_single"] | y["_single"], once).otherwise(twice)
+    return (x["_bits"].bitwiseAND(y["_bits"]) != 0) & once & (x["_single"] | y["_single"] | twice)
 
 
 def index_keys(sa: Column, sb: Column) -> Column:

@@ -46,10 +46,11 @@ def meant_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     exact = {r["canonical"]: r["ref_id"] for r in ref.filter(F.col("field_name") == "city").select("canonical", "ref_id").limit(canon.MAX_ENTRIES).collect()}
     known = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair])
-    rows = rows.withColumn("_cy", F.try_element_at(known, "_y")).withColumn("_ty", F.when(F.col("_cy").isNull(), F.col("_y")))
-    rows = canon.map_values(rows, "_ty", book, "_ry").withColumn("_cy", F.coalesce("_cy", F.nullif("_ry", F.lit(0))))
-    rows = rows.withColumn("_tx", F.when(F.col("_cy").isNull() & ~is_missing(F.col("_y")), F.col("_x")))
-    rows = canon.map_values(rows, "_tx", book, "_rx").withColumn("_cx", F.nullif("_rx", F.lit(0)))
+    rows = rows.withColumn("_cy", F.try_element_at(known, "_y"))
+    open_city = F.col("_cy").isNull() & ~is_missing(F.col("_y"))
+    rows = rows.withColumn("_ty", F.when(open_city, F.col("_y"))).withColumn("_tx", F.when(open_city & ~is_missing(F.col("_x")), F.col("_x")))
+    rows = canon.map_either(rows, "_ty", "_tx", book, "_r")
+    rows = rows.withColumn("_cx", F.when(F.col("_r") < 0, -F.col("_r"))).withColumn("_cy", F.coalesce("_cy", F.when(F.col("_r") > 0, F.col("_r"))))
     swapped = F.col("_cx").isNotNull()
     return rows.select(
         "row_id", "join_date", F.nullif("identity", F.lit("")).alias("identity"), F.when(swapped, F.col("_y")).otherwise(F.col("_x")).alias("name"),
