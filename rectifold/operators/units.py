@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hot import attach
+from .hot import BROADCAST_ROWS, attach
 
+MAX_LITERALS = 300  # feeds whose units become a literal of the plan; more are attached as a table
 MAX_UNITS = 10_000  # rows the table of units may have to be read into a plan
 
 # How a value says its parts, as patterns over its lower-case text.
@@ -137,14 +138,20 @@ def with_unit(df: DataFrame, field: str, units: DataFrame, feeds: DataFrame, fee
     remark = nothing if remarks is None else F.when(F.col(remarks).isNotNull(), remark_distance(F.col(remarks)) if distance else remark_price(F.col(remarks)))
     df = df.withColumn("__unit_remark", remark)
     declared = feeds.filter((F.col("field_name") == field) & F.col("feed").isNotNull()).groupBy(F.col("feed").alias("__unit_feed")).agg(F.min("unit_id").cast("int").alias("__unit_declared"))
-    df = attach(df, declared, {feed: "__unit_feed"})
-    meant = F.col("__unit_declared")
+    few = declared.limit(MAX_LITERALS + 1).collect()
+    if len(few) <= MAX_LITERALS:
+        meant = _case(F.col(feed), {r[0]: r[1] for r in few}, "int")
+    else:
+        df, meant = attach(df, declared, {feed: "__unit_feed"}), F.col("__unit_declared")
     if history is not None:
-        # one row per feed and load, so that no plan grows with the segments
-        loads = df.select(F.col(feed).alias("__unit_feed"), F.col(load).alias("__unit_load")).distinct()
-        spans = history.filter(F.col("unit_id").isin(*parts) if parts else F.lit(False)).select(F.col("feed").alias("__unit_of"), "first_load", "last_load", F.col("unit_id").cast("int").alias("__unit_span"))
-        spans = loads.join(spans, (F.col("__unit_feed") == F.col("__unit_of")) & F.col("__unit_load").between(F.col("first_load"), F.col("last_load")))
-        df = attach(df, spans.groupBy("__unit_feed", "__unit_load").agg(F.min("__unit_span").alias("__unit_span")), {feed: "__unit_feed", load: "__unit_load"})
+        spans = history.filter(F.col("unit_id").isin(*parts) if parts else F.lit(False)).select(F.col("feed").alias("__unit_of"), F.col("first_load").alias("__unit_a"), F.col("last_load").alias("__unit_b"), F.col("unit_id").cast("int").alias("__unit_span"))
+        within = lambda f, x: (f == F.col("__unit_of")) & x.between(F.col("__unit_a"), F.col("__unit_b"))
+        if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            df = df.join(F.broadcast(spans), within(F.col(feed), F.col(load)), "left").drop("__unit_of", "__unit_a", "__unit_b")  # segments of a feed do not overlap
+        else:  # one row per feed and load
+            loads = df.select(F.col(feed).alias("__unit_feed"), F.col(load).alias("__unit_load")).distinct()
+            each = loads.join(spans, within(F.col("__unit_feed"), F.col("__unit_load"))).groupBy("__unit_feed", "__unit_load").agg(F.min("__unit_span").alias("__unit_span"))
+            df = attach(df, each, {feed: "__unit_feed", load: "__unit_load"})
         meant = F.coalesce("__unit_span", meant)
     df = df.withColumn("__unit_meant", meant)
     df = df.withColumns({f"__unit_f_{i}": _case(F.col("__unit_meant"), {u: p[i] for u, p in parts.items()}, "string") for i in range(3)})

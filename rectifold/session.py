@@ -29,11 +29,13 @@ def build(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only where none is set (tests)."""
+    """Use the shared folder the cluster names; a machine's own folder serves only a local master (tests), on a cluster a missing setting is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rectifold-checkpoint-"))
 
 
@@ -62,8 +64,11 @@ def received(shared: Broadcast) -> object:
     return thing
 
 
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder, compressed and in columns; removed when the driver's JVM ends."""
+    """df as a table in the shared checkpoint folder, compressed and in columns; removed by `release`, at the latest when the driver's JVM ends."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     jvm = spark.sparkContext._jvm
@@ -71,4 +76,14 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the tables `written` so far, for sessions that run many queries; results built on them must have been used up. Returns their number."""
+    jvm, n = spark.sparkContext._jvm, len(WRITTEN)
+    while WRITTEN:
+        where = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return n
