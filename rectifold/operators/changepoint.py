@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .percentiles import exact_percentiles
 
 TOLERANCE = math.log10(1.6)  # how far a level may lie from a factor to match it
+LEAST_VALUES = 30  # values a segment needs to contradict a declaration
 
 
 def segments(levels: list[float], weights: list[float], penalty: float) -> list[int]:
@@ -69,7 +70,7 @@ def unit_segments(hist: DataFrame, factors: dict[int, float], common_level: floa
     """(source, first_load, last_load, level, unit_id, agrees): segments of each history and the unit whose factor brings the level to the common one.
 
     unit_id is null where no factor does within TOLERANCE; of several that do the declared one (declared: source, unit_id, one row a source)
-    counts, then the nearest, then the smaller id. agrees tells whether the segment has the declared unit, null where none is declared. Loads weigh alike;
+    counts, then the nearest, then the smaller id; a segment of fewer than LEAST_VALUES values contradicts no declaration. agrees tells whether the segment has the declared unit, null where none is declared. Loads weigh alike;
     the penalty rises with the noise between neighbouring loads.
     """
     known = sorted(factors.items())
@@ -81,7 +82,7 @@ def unit_segments(hist: DataFrame, factors: dict[int, float], common_level: floa
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("load")
-        levels, loads = pdf["level"].tolist(), pdf["load"].tolist()
+        levels, loads, counts = pdf["level"].tolist(), pdf["load"].tolist(), pdf["n"].tolist()
         said = None if pd.isna(pdf["declared"].iloc[0]) else int(pdf["declared"].iloc[0])
         steps = sorted(abs(b - a) for a, b in zip(levels, levels[1:], strict=False)) or [0.0]
         noise = (steps[len(steps) // 2] / 0.954) ** 2  # the median step of independent noise is 0.954 deviations
@@ -91,6 +92,8 @@ def unit_segments(hist: DataFrame, factors: dict[int, float], common_level: floa
             level = sum(levels[a:b]) / (b - a)
             near = sorted((u != said, off, u) for off, u in ((abs(common_level - level - math.log10(f)), u) for u, f in known if f > 0) if off <= TOLERANCE)
             unit = near[0][2] if near else None
+            if said is not None and unit != said and sum(counts[a:b]) < LEAST_VALUES:
+                unit = said
             rows.append((pdf["source"].iloc[0], loads[a], loads[b - 1], round(level, 6), unit, None if said is None else unit == said))
         out = pd.DataFrame(rows, columns=["source", "first_load", "last_load", "level", "unit_id", "agrees"])
         return out.astype({"unit_id": "Int32", "agrees": "boolean"})
