@@ -44,7 +44,8 @@ def attach(df: DataFrame, side: DataFrame, keys: dict[str, str], null_safe: bool
     """df with the columns of `side`, which has one row per key; keys: column of df -> column of side. Rows without a match keep nulls.
 
     A side within BROADCAST_ROWS and BROADCAST_CHARS, both counted, is broadcast. A larger one is repeated under SALTS salts and the rows of df are salted by
-    all their key-free content, so a key that holds a third of all rows is spread over as many tasks.
+    all their key-free content, so a key that holds a third of all rows is spread over as many tasks. The hint keeps Spark from broadcasting
+    the repeated side, whose size it estimates from the side's files, before it is repeated.
     """
     same = [F.col(a).eqNullSafe(F.col(b)) if null_safe else F.col(a) == F.col(b) for a, b in keys.items()]
     texts = [F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("bigint") for c, t in side.dtypes if t == "string"]
@@ -54,4 +55,4 @@ def attach(df: DataFrame, side: DataFrame, keys: dict[str, str], null_safe: bool
     free = [c for c, t in df.dtypes if c not in keys and not t.startswith("map")]
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in free]), F.lit(SALTS)).cast("int") if free else F.lit(0))
     spread = side.withColumn("__side", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1 if free else 0))))
-    return salted.join(spread, [F.col("__salt") == F.col("__side"), *same], "left").drop("__salt", "__side", *keys.values())
+    return salted.join(spread.hint("merge"), [F.col("__salt") == F.col("__side"), *same], "left").drop("__salt", "__side", *keys.values())

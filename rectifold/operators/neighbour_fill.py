@@ -1,6 +1,7 @@
 """Fills missing cells from the same entity's neighbours in time, then from the same group, and marks what was filled and how.
 
-The cells are read once into a narrow table; means and most frequent values of groups and the filling itself come from it. Filling is one
+The cells are read once into a narrow table; means and most frequent values of groups and the filling itself come from it. Rows with a
+missing cell meet the values of their group before the others join them, so only those rows move for it. Filling is one
 shuffle by (entity, segment). A segment is the whole entity, or one day of it where the entity is hot; then the
 observations beside a day come from a second level over one row per hot entity and day. Forward and backward looks are
 running windows in either order, so no frame is evaluated again per row.
@@ -9,6 +10,7 @@ running windows in either order, so no frame is evaluated again per row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,15 +60,37 @@ def fill(
     tagged = base.join(F.broadcast(hot), (F.col("_e1") == F.col("_h1")) & (F.col("_e2") == F.col("_h2")), "left")  # at most hot.MAX_HOT_KEYS rows
     tagged = tagged.withColumn("_seg", F.when(F.col("_h1").isNotNull(), F.floor(F.coalesce("_t", F.lit(0.0)) / DAY)).otherwise(F.lit(-1)).cast("bigint"))
     tagged = tagged.withColumn("_hot", F.col("_h1").isNotNull()).drop("_h1", "_h2")
+    seen = {f"_o_{c.name}": F.when(F.col(f"_v_{c.name}").isNotNull() & F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), F.col(f"_v_{c.name}").alias("v"))) for c in columns}
+
+    sides, wholes = [], []
+    numeric = [c for c in columns if c.numeric]
+    if numeric:  # conditional sums, as a filter on a value would compute it again; decimals, as their sum has no order
+        sums = [x for c in numeric for x in (F.sum(F.col(f"_v_{c.name}").cast("decimal(18,2)")).alias(f"_s_{c.name}"), F.count(f"_v_{c.name}").alias(f"_c_{c.name}"))]
+        stats = base.groupBy("_g").agg(*sums)
+        mean = lambda s, n: F.round((s / F.nullif(n, F.lit(0))).cast("double"), 4)
+        stats = written(stats)  # a row per group
+        sides.append(stats.select(F.col("_g").alias("_gg"), *[mean(F.col(f"_s_{c.name}"), F.col(f"_c_{c.name}")).alias(f"_gv_{c.name}") for c in numeric]))
+        wholes.append(stats.agg(*[mean(F.sum(f"_s_{c.name}"), F.sum(f"_c_{c.name}")).alias(f"_av_{c.name}") for c in numeric]))
     for c in columns:
-        tagged = tagged.withColumn(f"_o_{c.name}", F.when(F.col(f"_v_{c.name}").isNotNull() & F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), F.col(f"_v_{c.name}").alias("v"))))
+        if not c.numeric:
+            freq = written(base.groupBy("_g", F.col(f"_v_{c.name}").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_v").isNotNull()))
+            best = F.min_by("_v", F.struct(-F.col("_c"), F.col("_v")))
+            sides.append(freq.groupBy(F.col("_g").alias("_gg")).agg(best.alias(f"_gv_{c.name}")))
+            wholes.append(freq.groupBy("_v").agg(F.sum("_c").alias("_c")).agg(best.alias(f"_av_{c.name}")))
+    per_group = written(reduce(lambda x, y: x.join(y.hint("merge"), "_gg", "full"), sides))
+    fills = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"_m_{c.name}"), F.lit(False)) for c in columns])
+    own, kinds = [c for c in tagged.columns if c != "_g"], dict(per_group.dtypes)
+    filling = attach(tagged.filter(fills), per_group, {"_g": "_gg"}).select(*own, *[F.when(F.col(f"_m_{c.name}"), F.col(f"_gv_{c.name}")).alias(f"_gv_{c.name}") for c in columns])
+    others = tagged.filter(~fills).select(*own, *[F.lit(None).cast(kinds[f"_gv_{c.name}"]).alias(f"_gv_{c.name}") for c in columns])
+    valued = filling.unionByName(others).withColumns(seen)
+
     seg = ["_e1", "_e2", "_seg"]
     back = Window.partitionBy(*seg).orderBy(F.col("_t").asc(), F.col("_id").asc()).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*seg).orderBy(F.col("_t").desc(), F.col("_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = tagged.select("*", *[F.last(f"_o_{c.name}", ignorenulls=True).over(back).alias(f"_p_{c.name}") for c in columns])
+    rows = valued.select("*", *[F.last(f"_o_{c.name}", ignorenulls=True).over(back).alias(f"_p_{c.name}") for c in columns])
     rows = rows.select("*", *[F.last(f"_o_{c.name}", ignorenulls=True).over(ahead).alias(f"_n_{c.name}") for c in columns])
 
-    days = tagged.filter("_hot").groupBy(*seg).agg(
+    days = tagged.filter("_hot").withColumns(seen).groupBy(*seg).agg(
         *[F.max_by(f"_o_{c.name}", F.when(F.col(f"_o_{c.name}").isNotNull(), F.struct("_t", "_id"))).alias(f"_l_{c.name}") for c in columns],
         *[F.min_by(f"_o_{c.name}", F.when(F.col(f"_o_{c.name}").isNotNull(), F.struct("_t", "_id"))).alias(f"_f_{c.name}") for c in columns],
     )
@@ -75,22 +99,8 @@ def fill(
     days = days.select(*seg, *[F.last(f"_l_{c.name}", ignorenulls=True).over(over_days).alias(f"_dp_{c.name}") for c in columns], *[F.last(f"_f_{c.name}", ignorenulls=True).over(over_days_back).alias(f"_dn_{c.name}") for c in columns])
     rows = rows.join(days, seg, "left")
 
-    numeric = [c for c in columns if c.numeric]
-    if numeric:  # conditional sums, as a filter on a value would compute it again; decimals, as their sum has no order
-        sums = [x for c in numeric for x in (F.sum(F.col(f"_v_{c.name}").cast("decimal(18,2)")).alias(f"_s_{c.name}"), F.count(f"_v_{c.name}").alias(f"_c_{c.name}"))]
-        stats = base.groupBy("_g").agg(*sums)
-        mean = lambda s, n: F.round((s / F.nullif(n, F.lit(0))).cast("double"), 4)
-        stats = written(stats)  # a row per group
-        per_group = stats.select(F.col("_g").alias("_gg"), *[mean(F.col(f"_s_{c.name}"), F.col(f"_c_{c.name}")).alias(f"_gv_{c.name}") for c in numeric])
-        whole = stats.agg(*[mean(F.sum(f"_s_{c.name}"), F.sum(f"_c_{c.name}")).alias(f"_av_{c.name}") for c in numeric])
-        rows = attach(rows, per_group, {"_g": "_gg"}).crossJoin(F.broadcast(whole))  # one row
-    for c in columns:
-        if not c.numeric:
-            freq = written(base.groupBy("_g", F.col(f"_v_{c.name}").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_v").isNotNull()))
-            best = F.min_by("_v", F.struct(-F.col("_c"), F.col("_v")))
-            per_group = freq.groupBy(F.col("_g").alias("_gg")).agg(best.alias(f"_gv_{c.name}"))
-            whole = freq.groupBy("_v").agg(F.sum("_c").alias("_c")).agg(best.alias(f"_av_{c.name}"))
-            rows = attach(rows, per_group, {"_g": "_gg"}).crossJoin(F.broadcast(whole))  # one row
+    for whole in wholes:
+        rows = rows.crossJoin(F.broadcast(whole))  # one row
 
     out = [F.col("_id").alias(row_id)]
     for c in columns:
