@@ -42,6 +42,7 @@ def _deletes(s: str, d: int) -> set[str]:
 
 CHEAPEST = 0.6  # the least an edit costs in typing_distance
 DEAREST_PAIR = 0.8  # the least it costs to rid a text of a letter altogether
+SCANNED = 1000  # names up to which the letters of all are compared before the index is asked; the answers are the same
 PREFIX = 7  # letters at the beginning that are indexed: two texts within d edits share a form of their beginnings with up to d letters deleted
 
 
@@ -50,6 +51,9 @@ def _most(n: int) -> float:
     return 0.85 if n <= 3 else 1.0 if n <= 5 else 2.0 if n <= 11 else 2.6 if n <= 14 else 3.0
 
 
+MOST = np.array([_most(n) for n in range(16)])  # by the shorter length, the last for all longer ones
+
+
 def _bound(n: int) -> int:
     """How many edits fit into the largest distance of a text of n characters, none costing less than CHEAPEST: so many letters may have to go on either side."""
     return int(_most(n) / CHEAPEST + 1e-9)
@@ -97,6 +101,9 @@ class Dictionary:
         self.lengths = {len(joined) for joined, _, _ in self.names}
         self.heard = [(sounded(joined), _letters(joined), _letters(sounded(joined))) for joined, _, _ in self.names]
         self.heard_lengths = {len(h) for h, _, _ in self.heard}
+        # as written and as they sound
+        self.sizes = np.array([[len(x) for x, _, _ in self.names], [len(h) for h, _, _ in self.heard]], dtype=np.int64)
+        self.bits = np.array([[x for _, x, _ in self.heard], [x for _, _, x in self.heard]], dtype=np.uint64)
         self.memo: dict[str, int] = {}
 
     def find(self, value: str) -> int:
@@ -140,20 +147,44 @@ class Dictionary:
             return set()  # no name within the bound has such a length
         return {i for f in {joined, heard} for x in _deletes(f[:PREFIX], bound) for i in self.deletes.get(x, ())}
 
+    def _alike(self, joined: str, heard: str, ids: set[int] | None) -> dict[int, float]:
+        """Names, of all or of some, whose letters and length leave them within the largest distance, as written or as they sound, with the least they can be apart."""
+        at = slice(None) if ids is None else np.fromiter(ids, dtype=np.int64, count=len(ids))
+        sizes, bits = self.sizes[:, at], self.bits[:, at]
+        own = np.array([[_letters(joined)], [_letters(heard)]], dtype=np.uint64)
+        lacking = np.maximum(np.bitwise_count(own & ~bits), np.bitwise_count(bits & ~own))
+        as_written, as_heard = np.maximum(DEAREST_PAIR * lacking, CHEAPEST * np.abs(sizes - [[len(joined)], [len(heard)]]))
+        least = np.minimum(as_written, as_heard + 0.3)
+        close = np.flatnonzero(least <= MOST[np.minimum(sizes[0], min(len(joined), len(MOST) - 1))] + 1e-9)
+        return dict(zip((close if ids is None else at[close]).tolist(), least[close].tolist(), strict=True))
+
     def _near(self, joined: str, ids: set[int] | None = None) -> tuple | None:
         best = None
-        heard, own, own_heard = sounded(joined), _letters(joined), _letters(sounded(joined))
-        for i in self.near_ids(joined) if ids is None else ids:
+        heard = sounded(joined)
+        scan = ids is None and len(self.names) <= SCANNED
+        if ids is None and not scan:
+            ids = self.near_ids(joined)
+        alike = self._alike(joined, heard, ids)
+        if not alike:
+            return None
+        own, own_heard = _letters(joined), _letters(heard)
+        kept = self.near_ids(joined) if scan else alike
+        near = sorted((least, i) for i, least in alike.items() if i in kept)
+        for least, i in near:
             name, ref, _ = self.names[i]
             name_heard, letters, letters_heard = self.heard[i]
             n = min(len(name), len(joined))
             most = _most(n)
             if n <= 4 and joined[0] != name[0]:
                 continue
-            d = typing_distance(joined, name, most) if _least(own, letters) <= most + 1e-9 else most + 1
-            if _least(own_heard, letters_heard) <= most - 0.3 + 1e-9:
-                d = min(d, 0.3 + typing_distance(heard, name_heard, most - 0.3))
-            if d <= most + 1e-9:
+            # a distance beyond the best one so far need not be known
+            limit = most if best is None else min(most, best[0] + 0.001)
+            if least > limit + 1e-9:
+                continue
+            d = typing_distance(joined, name, limit) if _least(own, letters) <= limit + 1e-9 else most + 1
+            if _least(own_heard, letters_heard) <= limit - 0.3 + 1e-9:
+                d = min(d, 0.3 + typing_distance(heard, name_heard, limit - 0.3))
+            if d <= limit + 1e-9:
                 key = (round(d, 3), -self.freq.get(ref, 0), ref)
                 best = key if best is None or key < best else best
         return best

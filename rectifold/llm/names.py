@@ -67,13 +67,26 @@ def ends(forms: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(forms, each)))
 
 
+def each_form(ws: Column) -> Column:
+    """The forms of each word of `words`."""
+    return F.transform(ws, lambda w: F.when(F.contains(w, F.lit("|")), F.split(w, r"\|")).otherwise(F.array(w)))
+
+
+def keys_of(ws: Column) -> tuple[Column, Column]:
+    """Hashed suffixes and ends of each of the `words`."""
+    forms = each_form(ws)
+    return F.transform(forms, suffixes), F.transform(forms, ends)
+
+
 def with_keys(forms: DataFrame, name: str) -> DataFrame:
-    """forms with `_sa` and `_sb` (hashed suffixes and ends of each full word), `_single` (at most one full word) and `_bits`, the suffixes as a set of 64 bits."""
-    out = forms.withColumn("_ws", words(F.col(name)))
-    out = out.withColumn("_ws", F.transform("_ws", lambda w: F.when(F.contains(w, F.lit("|")), F.split(w, r"\|")).otherwise(F.array(w))))
-    out = out.withColumn("_sa", F.transform("_ws", suffixes)).withColumn("_sb", F.transform("_ws", ends)).withColumn("_single", F.size("_ws") <= 1)
-    bits = F.aggregate(F.flatten("_sa"), F.lit(0).cast("bigint"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(k, F.lit(64)))))
-    return out.withColumn("_bits", bits).drop("_ws")
+    """forms with `_w` (the full words), `_sa` (their hashed suffixes), `_single` (at most one full word) and `_bits`, the suffixes as a set of 64 bits.
+
+    The ends of words are left to the few pairs that share a suffix.
+    """
+    out = forms.withColumn("_w", words(F.col(name)))
+    out = out.withColumn("_sa", suffixes(F.flatten(each_form(F.col("_w"))))).withColumn("_single", F.size("_w") <= 1)
+    bits = F.aggregate("_sa", F.lit(0).cast("bigint"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(k, F.lit(64)))))
+    return out.withColumn("_bits", bits)
 
 
 def _others(sb: Column, i: Column) -> Column:
@@ -82,17 +95,25 @@ def _others(sb: Column, i: Column) -> Column:
     return F.flatten(F.when(F.size(sb) <= MANY_WORDS, F.filter(sb, lambda b, j: j != i)).otherwise(F.filter(F.slice(sb, F.greatest(i, F.lit(1)), F.least(i, F.lit(1)) + 2), near)))
 
 
+def share_a_suffix(x: Column, y: Column) -> Column:
+    """Whether two forms share the suffix of a word. The bits rule most pairs out."""
+    return (x["_bits"].bitwiseAND(y["_bits"]) != 0) & F.arrays_overlap(x["_sa"], y["_sa"])
+
+
 def share_a_key(x: Column, y: Column) -> Column:
-    """Whether two forms share the suffix of a word and an end of another; the suffix alone where one of them has a single full word. The bits rule most pairs out."""
+    """Whether two forms that share the suffix of a word share an end of another as well; the suffix alone is enough where one of them has a single full word."""
     true = lambda t: t
-    twice = F.exists(F.transform(x["_sa"], lambda a, i: F.exists(F.transform(y["_sa"], lambda b, j: F.arrays_overlap(a, b) & F.arrays_overlap(_others(x["_sb"], i), _others(y["_sb"], j))), true)), true)
-    once = F.arrays_overlap(F.flatten(x["_sa"]), F.flatten(y["_sa"]))
-    return (x["_bits"].bitwiseAND(y["_bits"]) != 0) & once & (x["_single"] | y["_single"] | twice)
+    twice = lambda k: F.exists(F.transform(k["xa"], lambda a, i: F.exists(F.transform(k["ya"], lambda b, j: F.arrays_overlap(a, b) & F.arrays_overlap(_others(k["xb"], i), _others(k["yb"], j))), true)), true)
+    (xa, xb), (ya, yb) = keys_of(x["_w"]), keys_of(y["_w"])
+    # as a variable of a lambda the keys are computed once for a pair
+    return x["_single"] | y["_single"] | F.exists(F.array(F.struct(xa.alias("xa"), xb.alias("xb"), ya.alias("ya"), yb.alias("yb"))), twice)
 
 
-def index_keys(sa: Column, sb: Column) -> Column:
+def index_keys(ws: Column) -> Column:
     """The same as hashed keys of one form: each suffix with each end of another word."""
-    return F.array_distinct(F.flatten(F.transform(sa, lambda ks, i: F.flatten(F.transform(ks, lambda a: F.transform(_others(sb, i), lambda b: F.xxhash64(a, b)))))))
+    sa, sb = keys_of(ws)
+    cross = lambda k: F.flatten(F.transform(k["a"], lambda ks, i: F.flatten(F.transform(ks, lambda x: F.transform(_others(k["b"], i), lambda y: F.xxhash64(x, y))))))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.struct(sa.alias("a"), sb.alias("b"))), cross)))
 
 
 SIDE = ("_form", "_name", "_lo", "_hi")
@@ -111,7 +132,7 @@ def packs(forms: DataFrame, tile: int = TILE) -> DataFrame:
     identities use them.
     """
     keyed = with_keys(forms.filter(F.coalesce(F.col("_n") > 1, F.lit(True)) | (F.col("_lo") < F.col("_hi"))), "_name")
-    one = F.struct(*SIDE, "_single", "_bits", "_sa", "_sb")
+    one = F.struct(*SIDE, "_single", "_bits", "_sa", "_w")
     part = F.when(F.col("_n") <= tile, 0).otherwise(F.pmod("_form", F.ceil(F.col("_n") / tile)))
     known = keyed.filter(F.col("_n").isNotNull()).groupBy("_block", "_n", part.alias("_part")).agg(F.collect_list(one).alias("_fs")).drop("_part")
     return known.unionByName(keyed.filter(F.col("_n").isNull()).select("_block", "_n", F.array(one).alias("_fs")))
@@ -123,14 +144,15 @@ def candidate_pairs(packed: DataFrame, tile: int = TILE) -> DataFrame:
     Blocks of up to `tile` forms are paired in place; the others by an index of hashed keys. A key's holders are laid in tiles of
     about `tile` by `tile` forms, each of them a group of its own.
     """
-    small = packed.filter((F.col("_n") <= tile) & (F.col("_n") > 1)).select("_fs", F.explode("_fs").alias("x"))
-    near = F.filter("_fs", lambda y: (F.col("x")["_form"] < y["_form"]) & share_a_key(F.col("x"), y))
-    near = F.transform(near, lambda y: F.struct(*[y[c].alias(c) for c in SIDE]))
-    local = small.select("x", F.explode(near).alias("y")).select(*_both(F.col("x"), F.col("y")))
+    small = packed.filter((F.col("_n") <= tile) & (F.col("_n") > 1))
+    side = lambda f: F.struct(*[f[c].alias(c) for c in (*SIDE, "_single", "_w")])
+    with_x = lambda x: F.transform(F.filter("_fs", lambda y: (x["_form"] < y["_form"]) & share_a_suffix(x, y)), lambda y: F.struct(side(x).alias("x"), side(y).alias("y")))
+    near = small.select(F.explode(F.flatten(F.transform("_fs", with_x))).alias("p")).select("p.x", "p.y")
+    local = near.filter(share_a_key(F.col("x"), F.col("y"))).select(*_both(F.col("x"), F.col("y")))
 
     large = packed.filter(F.coalesce(F.col("_n") > tile, F.lit(True))).select("_block", F.explode("_fs").alias("f"))
     key = lambda left, *k: F.struct(F.xxhash64("_block", *k).alias("k"), left.alias("left"))
-    keys = F.concat(F.transform(index_keys(F.col("f._sa"), F.col("f._sb")), lambda k: key(F.lit(True), k)), F.transform(F.array_distinct(F.flatten("f._sa")), lambda k: key(F.col("f._single"), k, F.lit(1))))
+    keys = F.concat(F.transform(index_keys(F.col("f._w")), lambda k: key(F.lit(True), k)), F.transform(F.array_distinct("f._sa"), lambda k: key(F.col("f._single"), k, F.lit(1))))
     index = written(large.select(*[F.col(f"f.{c}") for c in SIDE], F.explode(keys).alias("_k")).select(*SIDE, F.col("_k.k").alias("_k"), F.col("_k.left").alias("_left")))
     held = index.groupBy("_k").agg(F.sum(F.col("_left").cast("bigint")).alias("_nl"), F.count(F.lit(1)).alias("_nr")).filter((F.col("_nl") > 0) & (F.col("_nr") > 1))
     placed = index.join(held, "_k").withColumn("_rows", F.ceil(F.col("_nl") / tile)).withColumn("_cols", F.ceil(F.col("_nr") / tile))
@@ -181,7 +203,8 @@ def day(c: Column) -> Column:
     ymd = F.regexp_replace(s, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "$1-$2-$3")
     dmy = F.regexp_replace(ymd, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", "$3-$2-$1")
     short = F.regexp_replace(dmy, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})$", "20$3-$2-$1")
-    return F.when(~is_missing(c), F.lower(short))
+    # a date that is in this notation already needs none of the patterns
+    return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), c).otherwise(F.when(~is_missing(c), F.lower(short)))
 
 
 def link(rows: DataFrame, row_id: str, identity: Column, name: Column, block: dict[str, Column], tile: int = TILE, hot_rows: int = HOT_ROWS) -> DataFrame:

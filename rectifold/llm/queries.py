@@ -33,7 +33,8 @@ def meant_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     churn, ref = table(spark, sf_dir, "customer_churn"), table(spark, sf_dir, "ref_values")
     book = canon.dictionary(ref, "city", churn, "city")
     # accounts have digits, so other names and cities need not be folded here
-    folded = {"customer_id": letters_and_digits(F.col("customer_id"))} | {c: F.when(F.col(c).rlike("[0-9]"), letters_and_digits(F.col(c))) for c in ("name", "city")}
+    usual = F.when(F.col("customer_id").rlike(r"^CUST_[0-9]+\z"), F.concat(F.lit("cust"), F.substr("customer_id", F.lit(6))))
+    folded = {"customer_id": F.coalesce(usual, letters_and_digits(F.col("customer_id")))} | {c: F.when(F.col(c).rlike("[0-9]"), letters_and_digits(F.col(c))) for c in ("name", "city")}
     rows = churn.select("row_id", "join_date", *[F.col(c).alias(f"_{c}") for c in folded], *[f.alias(f"_k_{c}") for c, f in folded.items()])
     is_account = lambda c: F.col(f"_k_{c}").rlike("^cust[0-9]+$")
     rows = rows.withColumn("_at", F.when(is_account("customer_id"), 0).when(is_account("name"), 1).when(is_account("city"), 2).otherwise(0))

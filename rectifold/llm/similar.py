@@ -69,9 +69,8 @@ def lcs_ratio(a: str, b: str) -> float:
 _AT = {ch: (r, i + 0.4 * r) for r, row in enumerate(KEY_ROWS) for i, ch in enumerate(row)}
 
 
-def _swap_cost(a: str, b: str) -> float:
-    p, q = _AT.get(a), _AT.get(b)
-    return 0.8 if p and q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1.1 else 1.0
+# Pairs of keys beside each other.
+_BESIDE = frozenset(a + b for a, p in _AT.items() for b, q in _AT.items() if abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1.1)
 
 
 def typing_distance(a: str, b: str, most: float = 9.0) -> float:
@@ -87,7 +86,7 @@ def typing_distance(a: str, b: str, most: float = 9.0) -> float:
         row = [one[0] + gone]
         for j in range(1, len(b) + 1):
             come = 0.6 if j > 1 and b[j - 1] == b[j - 2] else 1.0
-            best = min(one[j] + gone, row[j - 1] + come, one[j - 1] + (0.0 if a[i - 1] == b[j - 1] else _swap_cost(a[i - 1], b[j - 1])))
+            best = min(one[j] + gone, row[j - 1] + come, one[j - 1] + (0.0 if a[i - 1] == b[j - 1] else 0.8 if a[i - 1] + b[j - 1] in _BESIDE else 1.0))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and a[i - 1] != b[j - 1]:
                 best = min(best, two[j - 2] + 0.8)
             row.append(best)
