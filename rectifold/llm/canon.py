@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_missing
 from ..operators.hot import attach
 from ..session import received, share, written
-from .similar import plain, sounded, typing_distance
+from .similar import lcs, plain, sounded, typing_distance
 
 MAX_ENTRIES = 10_000  # reference entries that may be broadcast at a time
 MEMO = 50_000  # distinct values a task remembers
@@ -42,7 +42,7 @@ def _deletes(s: str, d: int) -> set[str]:
 
 CHEAPEST = 0.6  # the least an edit costs in typing_distance
 DEAREST_PAIR = 0.8  # the least it costs to rid a text of a letter altogether
-SCANNED = 1000  # names up to which the letters of all are compared before the index is asked; the answers are the same
+SCANNED = 1000  # names up to which the letters of all are compared and the index is not asked; the answers are the same
 PREFIX = 7  # letters at the beginning that are indexed: two texts within d edits share a form of their beginnings with up to d letters deleted
 
 
@@ -72,6 +72,11 @@ def _least(a: int, b: int) -> float:
     return DEAREST_PAIR * max((a & ~b).bit_count(), (b & ~a).bit_count())
 
 
+def _apart(a: str, b: str) -> float:
+    """What two texts cost at least by the letters outside their longest common subsequence: a replacement or a swap removes two of them, any other edit one."""
+    return DEAREST_PAIR / 2 * (len(a) + len(b) - 2 * lcs(a, b))
+
+
 class Dictionary:
     """Names and aliases of the entries of one field, with the symmetric-delete index over them."""
 
@@ -158,6 +163,15 @@ class Dictionary:
         close = np.flatnonzero(least <= MOST[np.minimum(sizes[0], min(len(joined), len(MOST) - 1))] + 1e-9)
         return dict(zip((close if ids is None else at[close]).tolist(), least[close].tolist(), strict=True))
 
+    def _meets(self, i: int, joined: str, heard: str) -> bool:
+        """Whether name i is among near_ids(joined), without the deletes: two beginnings have one in common if their common subsequence is no shorter than either may become."""
+        name, _, alias = self.names[i]
+        if alias and len(name) <= 4:
+            return False
+        bound, own = _bound(len(joined)), _bound(len(name))
+        begins, forms = ({x[:PREFIX] for x in both} for both in ((joined, heard), (name, self.heard[i][0])))
+        return any(lcs(f, x) >= max(len(f) - bound, len(x) - own) for f in begins for x in forms)
+
     def _near(self, joined: str, ids: set[int] | None = None) -> tuple | None:
         best = None
         heard = sounded(joined)
@@ -168,9 +182,7 @@ class Dictionary:
         if not alike:
             return None
         own, own_heard = _letters(joined), _letters(heard)
-        kept = self.near_ids(joined) if scan else alike
-        near = sorted((least, i) for i, least in alike.items() if i in kept)
-        for least, i in near:
+        for least, i in sorted((least, i) for i, least in alike.items()):
             name, ref, _ = self.names[i]
             name_heard, letters, letters_heard = self.heard[i]
             n = min(len(name), len(joined))
@@ -181,8 +193,12 @@ class Dictionary:
             limit = most if best is None else min(most, best[0] + 0.001)
             if least > limit + 1e-9:
                 continue
-            d = typing_distance(joined, name, limit) if _least(own, letters) <= limit + 1e-9 else most + 1
-            if _least(own_heard, letters_heard) <= limit - 0.3 + 1e-9:
+            as_written = _least(own, letters) <= limit + 1e-9 and _apart(joined, name) <= limit + 1e-9
+            as_heard = _least(own_heard, letters_heard) <= limit - 0.3 + 1e-9 and _apart(heard, name_heard) <= limit - 0.3 + 1e-9
+            if not (as_written or as_heard) or (scan and not self._meets(i, joined, heard)):
+                continue
+            d = typing_distance(joined, name, limit) if as_written else most + 1
+            if as_heard:
                 d = min(d, 0.3 + typing_distance(heard, name_heard, limit - 0.3))
             if d <= limit + 1e-9:
                 key = (round(d, 3), -self.freq.get(ref, 0), ref)

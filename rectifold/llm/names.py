@@ -19,6 +19,7 @@ from ..functions.text import SPACES, is_missing, letters_and_digits
 from ..operators.hot import hot_keys
 from ..session import checkpoint, written
 from .namematch import LEGAL, NICKNAMES, TITLES, model_numbers, same_model, same_name
+from .similar import memo
 
 SUFFIX = 4  # shortest suffix that is indexed
 TILE = 64  # forms that are paired at a time
@@ -53,9 +54,8 @@ def words(name: Column) -> Column:
 
 def suffixes(forms: Column) -> Column:
     """Hashed suffix keys of a word's forms: the suffix of each, and that of the form without its last letter, as a letter may be missing or too many at the end."""
-    tail = lambda w: F.when(F.length(w) > SUFFIX, F.substr(w, F.length(w) - F.lit(SUFFIX - 1))).otherwise(w)
-    both = lambda w: F.array(F.hash(tail(w)), F.when(F.length(w) > SUFFIX, F.hash(tail(F.substr(w, F.lit(1), F.length(w) - 1)))))
-    return F.array_compact(F.flatten(F.transform(forms, both)))
+    tail = lambda w, k: F.hash(F.substr(w, F.length(w) - F.lit(SUFFIX + k - 1), F.lit(SUFFIX)))
+    return F.flatten(F.transform(forms, lambda w: F.when(F.length(w) > SUFFIX, F.array(tail(w, 0), tail(w, 1))).otherwise(F.array(F.hash(w)))))
 
 
 def ends(forms: Column) -> Column:
@@ -100,13 +100,31 @@ def share_a_suffix(x: Column, y: Column) -> Column:
     return (x["_bits"].bitwiseAND(y["_bits"]) != 0) & F.arrays_overlap(x["_sa"], y["_sa"])
 
 
-def share_a_key(x: Column, y: Column) -> Column:
-    """Whether two forms that share the suffix of a word share an end of another as well; the suffix alone is enough where one of them has a single full word."""
-    true = lambda t: t
-    twice = lambda k: F.exists(F.transform(k["xa"], lambda a, i: F.exists(F.transform(k["ya"], lambda b, j: F.arrays_overlap(a, b) & F.arrays_overlap(_others(k["xb"], i), _others(k["yb"], j))), true)), true)
-    (xa, xb), (ya, yb) = keys_of(x["_w"]), keys_of(y["_w"])
-    # as a variable of a lambda the keys are computed once for a pair
-    return x["_single"] | y["_single"] | F.exists(F.array(F.struct(xa.alias("xa"), xb.alias("xb"), ya.alias("ya"), yb.alias("yb"))), twice)
+@memo(200_000)
+def _word_keys(w: str) -> tuple[frozenset, frozenset]:
+    """The same as `suffixes` and `ends` of one of the `words`, not hashed."""
+    sa, sb = set(), set()
+    for f in w.split("|"):
+        sa |= {f[-SUFFIX:], f[-SUFFIX - 1 : -1]} if len(f) > SUFFIX else {f}
+        sb |= {(-2, f[:2]), (2, f[-2:])} if len(f) <= 8 else set()
+        sb |= {(-3, f[:3])} if len(f) >= 3 else set()
+        sb |= {(3, f[-3:])} if len(f) >= 6 else set()
+    return frozenset(sa), frozenset(sb)
+
+
+def share_a_key(x: str, y: str) -> bool:
+    """Whether two forms, given by their `words` with spaces between, share the suffix of a word and an end of another; the suffix alone is enough where one of them has a single full word.
+
+    The same as a key in common of `index_keys`, for the pairs of small blocks, of which few need it: a worker remembers the keys of words.
+    """
+    xs, ys = ([_word_keys(w) for w in t.split(" ") if w] for t in (x, y))
+    alone = len(xs) <= 1 or len(ys) <= 1
+    beside = lambda ks, i: [k for j, (_, k) in enumerate(ks) if j != i and (len(ks) <= MANY_WORDS or abs(i - j) == 1)]
+    for i, (a, _) in enumerate(xs):
+        for j, (b, _) in enumerate(ys):
+            if not a.isdisjoint(b) and (alone or any(not p.isdisjoint(q) for p in beside(xs, i) for q in beside(ys, j))):
+                return True
+    return False
 
 
 def index_keys(ws: Column) -> Column:
@@ -138,17 +156,17 @@ def packs(forms: DataFrame, tile: int = TILE) -> DataFrame:
     return known.unionByName(keyed.filter(F.col("_n").isNull()).select("_block", "_n", F.array(one).alias("_fs")))
 
 
-def candidate_pairs(packed: DataFrame, tile: int = TILE) -> DataFrame:
-    """Distinct pairs (a_form < b_form, with name and smallest and largest identity of both) of forms of one block that share a key, from `packs`.
+def near_pairs(packed: DataFrame, tile: int = TILE) -> DataFrame:
+    """Distinct pairs (a_form < b_form, with name and smallest and largest identity of both) of forms of one block that may share a key, from `packs`.
 
-    Blocks of up to `tile` forms are paired in place; the others by an index of hashed keys. A key's holders are laid in tiles of
-    about `tile` by `tile` forms, each of them a group of its own.
+    Blocks of up to `tile` forms are paired in place, and a_words, b_words hold the words by which `share_a_key` has still to tell; the others by an index
+    of hashed keys, where the words are null. A key's holders are laid in tiles of about `tile` by `tile` forms, each of them a group of its own.
     """
     small = packed.filter((F.col("_n") <= tile) & (F.col("_n") > 1))
-    side = lambda f: F.struct(*[f[c].alias(c) for c in (*SIDE, "_single", "_w")])
-    with_x = lambda x: F.transform(F.filter("_fs", lambda y: (x["_form"] < y["_form"]) & share_a_suffix(x, y)), lambda y: F.struct(side(x).alias("x"), side(y).alias("y")))
-    near = small.select(F.explode(F.flatten(F.transform("_fs", with_x))).alias("p")).select("p.x", "p.y")
-    local = near.filter(share_a_key(F.col("x"), F.col("y"))).select(*_both(F.col("x"), F.col("y")))
+    x, y = F.col("x"), F.col("y")
+    # two plain explosions and a filter without lambdas run as one compiled loop, in which the list is not copied
+    near = small.select("_fs", F.explode("_fs").alias("x")).select("x", F.explode("_fs").alias("y")).filter((x["_form"] < y["_form"]) & share_a_suffix(x, y))
+    local = near.select(*_both(x, y), F.array_join(x["_w"], " ").alias("a_words"), F.array_join(y["_w"], " ").alias("b_words"))
 
     large = packed.filter(F.coalesce(F.col("_n") > tile, F.lit(True))).select("_block", F.explode("_fs").alias("f"))
     key = lambda left, *k: F.struct(F.xxhash64("_block", *k).alias("k"), left.alias("left"))
@@ -166,19 +184,29 @@ def candidate_pairs(packed: DataFrame, tile: int = TILE) -> DataFrame:
     groups = placed.groupBy("_k", "t.r", "t.c").agg(F.collect_list(F.when(F.col("t.left"), F.col("f"))).alias("_ls"), F.collect_list(F.when(F.col("t.right"), F.col("f"))).alias("_rs"))
     crossed = groups.select("_rs", F.explode("_ls").alias("x"))
     crossed = crossed.select("x", F.explode(F.filter("_rs", lambda y: y["_form"] != F.col("x")["_form"])).alias("y")).select(*_both(F.col("x"), F.col("y")))
-    return local.unionByName(crossed.dropDuplicates(["a_form", "b_form"]))
+    return local.unionByName(crossed.dropDuplicates(["a_form", "b_form"]), allowMissingColumns=True)
 
 
-def accepted(pairs: DataFrame, same: Callable[[str, str], bool]) -> DataFrame:
-    """The pairs (a, b) with more than one identity that `same` accepts, compared in Arrow batches."""
+def _judge(same: Callable[[str, str], bool]) -> Callable[..., Column]:
+    """Of names and words of a pair: whether it shares a key, if its words are given, and `same` accepts it. In Arrow batches."""
 
     @F.pandas_udf("boolean")
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([same(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
+    def judge(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for x, y, v, w in batches:
+            yield pd.Series([(not isinstance(s, str) or share_a_key(s, t)) and same(p, q) for p, q, s, t in zip(x, y, v, w, strict=True)], dtype=bool)
 
+    return judge
+
+
+def candidate_pairs(packed: DataFrame, tile: int = TILE) -> DataFrame:
+    """The `near_pairs` that share a key."""
+    return near_pairs(packed, tile).filter(_judge(lambda x, y: True)("a_name", "b_name", "a_words", "b_words")).drop("a_words", "b_words")
+
+
+def accepted(pairs: DataFrame, same: Callable[[str, str], bool]) -> DataFrame:
+    """The `near_pairs` (a, b) with more than one identity that share a key and that `same` accepts."""
     several = F.least("a_lo", "b_lo") < F.greatest("a_hi", "b_hi")
-    return pairs.filter(several).filter(judge("a_name", "b_name")).select(F.col("a_form").alias("a"), F.col("b_form").alias("b"))
+    return pairs.filter(several).filter(_judge(same)("a_name", "b_name", "a_words", "b_words")).select(F.col("a_form").alias("a"), F.col("b_form").alias("b"))
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -222,7 +250,7 @@ def link(rows: DataFrame, row_id: str, identity: Column, name: Column, block: di
     for k in b:
         usable = usable & F.col(k).isNotNull()
     base = base.select("_row", F.xxhash64(F.lit(7), "_identity").alias("_identity"), F.when(usable, F.col("_name")).alias("_name"), F.when(usable, F.xxhash64(F.lit(1), "_key", *b)).alias("_form"), F.xxhash64(F.lit(2), *b).alias("_block"))
-    base = written(base).filter(F.col("_form").isNotNull())
+    base = written(base, base.columns).filter(F.col("_form").isNotNull())
     # the spelling with most words stands for a form; copies that lost their spaces have fewer
     best = F.max_by("_name", F.struct(F.size(F.split("_name", r"[^\p{L}\p{N}]+")), F.col("_name")))
     made = [best.alias("_name"), F.min("_identity").alias("_lo"), F.max("_identity").alias("_hi")]
@@ -230,9 +258,9 @@ def link(rows: DataFrame, row_id: str, identity: Column, name: Column, block: di
     cold = base.join(F.broadcast(hot), "_block", "left_anti").repartition("_block").groupBy("_block", "_form").agg(*made)
     cold = cold.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_block")))
     heavy = base.join(F.broadcast(hot), "_block", "left_semi").groupBy("_block", "_form").agg(*made).withColumn("_n", F.lit(None).cast("bigint"))
-    packed = written(packs(cold.unionByName(heavy), tile))
+    packed = written(packs(cold.unionByName(heavy), tile), ["_block", *(f"_fs.list.element.{c}" for c in (*SIDE, "_bits"))])
     own = packed.select(F.explode("_fs").alias("f")).filter(F.col("f._lo") < F.col("f._hi")).select(*[F.col(f"f.{c}").alias(f"{s}{c}") for s in "ab" for c in SIDE])  # several ids under one name
-    links = accepted(candidate_pairs(packed, tile).unionByName(own), same_name)
+    links = accepted(near_pairs(packed, tile).unionByName(own, allowMissingColumns=True), same_name)
     return base.join(components(links), F.col("_form") == F.col("node")).select(F.col("_row").alias(row_id), "entity", F.col("_identity").alias("identity"))
 
 
@@ -266,7 +294,7 @@ def model_pairs(spellings: DataFrame, row_id: str, name: str) -> DataFrame:
     forms = base.groupBy("_key").agg(F.max_by("_name", F.struct(F.size(F.split("_name", r"[^\p{L}\p{N}]+")), F.col("_name"))).alias("_name"))
     own = F.xxhash64("_key")
     forms = forms.select(own.alias("_form"), "_name", own.alias("_lo"), own.alias("_hi"), F.xxhash64(numbers("_name")).alias("_block"), F.lit(None).cast("bigint").alias("_n"))
-    found = components(accepted(candidate_pairs(written(packs(forms))), same_model))
+    found = components(accepted(near_pairs(written(packs(forms))), same_model))
     rows = base.select("_row", F.xxhash64("_key").alias("_form")).join(found, F.col("_form") == F.col("node"), "left")
     members = rows.select(F.col("_row").alias(row_id), F.coalesce("entity", "_form").alias("entity"), F.col("_row").alias("identity"))
     return linked_pairs(members, row_id)

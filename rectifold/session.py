@@ -6,6 +6,7 @@ import os
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark import cloudpickle
 from pyspark.core.broadcast import Broadcast
@@ -67,13 +68,16 @@ def received(shared: Broadcast) -> object:
 WRITTEN: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder, compressed and in columns; removed by `release`, at the latest when the driver's JVM ends."""
+def written(df: DataFrame, unique: Iterable[str] = ()) -> DataFrame:
+    """df as a table in the shared checkpoint folder, compressed and in columns; removed by `release`, at the latest when the driver's JVM ends.
+
+    unique: columns, nested ones by their path in the file, whose values hardly repeat: no dictionary is tried for them, as it costs time and is dropped again.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     jvm = spark.sparkContext._jvm
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rectifold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in unique}).parquet(path)
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     WRITTEN.append(path)
